@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import narrow
+from corvane.llm.common import Scratch, narrow
 
 LEAST_REVISIT = 1000
 FRAME_BYTES = 1 << 18
@@ -173,6 +173,8 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"))
     long = t.where(F.octet_length("body") >= least)
     groups = long.groupBy(F.sha2("body", 256).alias("__key")).agg(F.max("id").alias("__most"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    # written, as adaptive execution splits a hot key only where a join reads both sides from shuffles of its own
+    groups = Scratch(df.sparkSession, "warc-groups").table(groups, "groups")
     key = F.when(F.octet_length("body") >= least, F.sha2("body", 256))
     t = t.withColumn("__mine", key).join(groups, F.col("__mine") == F.col("__key"), "left")
     revisit = F.coalesce(F.col("__n") > 1, F.lit(False)) & ~F.col("id").eqNullSafe(F.col("__most"))
