@@ -1,16 +1,69 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by run()."""
+"""The corpus pipeline: stages over ``documents``, each written and read again by run().
+
+Toxic documents go, then exact copies, then all but one of each group of near
+copies; what is left is mixed to the target weights and packed into sequences.
+Every stage is the production operator with its own defaults.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm.common import DOCUMENT, Scratch
+from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.mixing import mix_documents
+from corvane.llm.packing import best_fit
+from corvane.llm.simhash_dedup import simhash_dedup
+from corvane.llm.toxicity import toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the score rejects go; clean ones and those without evidence stay."""
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=DOCUMENT)
+    return scored.where("predicted = 0").select(*DOCUMENT)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
+    return exact_dedup(docs, carry=DOCUMENT).where("kept").select(*DOCUMENT)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the row with the smallest doc_id stays."""
+    found = simhash_dedup(docs, carry=DOCUMENT)
+    return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*DOCUMENT)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeat, shrink to their picked blocks or go, so that each source comes to its target; n_chars follows."""
+    mixed = mix_documents(docs, carry=("lang",)).withColumn("n_chars", F.length("text").cast("long"))
+    return mixed.select(*DOCUMENT)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of a document in a sequence."""
+    return best_fit(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL expresses neither the score nor the fingerprints; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, applied to the table ``documents``."""
+    store = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = store.table(stage(spark, docs, sf_dir), str(k))
+        if k:
+            store.drop(str(k - 1))
     return docs

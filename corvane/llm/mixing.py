@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, Scratch, narrow, small
+from corvane.llm.common import SPACE, WORD, Scratch, narrow, small
 
 BLOCK = 32
 SHARD_WORDS = 1 << 16
@@ -80,6 +80,10 @@ def apportion(df: DataFrame, votes: str, seats: str, by: list[str], order: list[
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken.
 
+    Plan: texts are read once for their sizes, never shuffled. One narrow shuffle
+    groups rows by (source, shard); a shard has about ``shard_words`` words until
+    a source has MAX_SHARDS, so a hot source spreads over thousands of tasks.
+
     ``taken`` counts the words that the mix takes from the row, repeats counted,
     and is at most 3 times ``size``. Defined cases: a null text has no words; a
     null source is a source of its own, last in order; rows without words have
@@ -87,15 +91,57 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     each other in the order, so which of them is taken makes no difference to
     the result; an empty table gives no rows; other columns are ignored. Equal
     input and seed give an equal result however the rows are dealt out.
+    """
+    rows = _plan(df, id_col, text_col, source_col, (), False, seed, block, shard_words)
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _taken(block))
 
-    Plan: texts are read once for their sizes, never shuffled. One narrow shuffle
-    groups rows by (source, shard); a shard has about ``shard_words`` words until
-    a source has MAX_SHARDS, so a hot source spreads over thousands of tasks.
+
+def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), seed: int = 7, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mix itself: id, source, ``carry``, text.
+
+    A row appears once for each whole pass, and once more with the words of its
+    picked blocks, joined by spaces (or in full if all are picked). Rows of which
+    nothing is taken are left out; that holds for rows without words. Other
+    cases are as for ``mix``. Here texts ride along in the shuffle.
     """
+    rows = _plan(df, id_col, text_col, source_col, tuple(c for c in dict.fromkeys(carry) if c not in (id_col, text_col, source_col)), True, seed, block, shard_words)
+    blocks = F.when(F.coalesce("rest", F.lit(0)) > 0, F.filter(_blocks(block), lambda b: _is_picked(b)))
+    rows = rows.where("size > 0").withColumn("blocks", F.coalesce(blocks, F.array().cast("array<long>")))
+    text, words = F.col("__c_text"), F.split(F.trim(F.regexp_replace("__c_text", SPACE, " ")), " ")
+
+    def cut(w: Column, b: Column) -> Column:
+        lo, hi = F.greatest(F.col("lo"), b * block), F.least(F.col("hi"), (b + 1) * block)
+        return F.array_join(F.slice(w, (lo - F.col("lo") + 1).cast("int"), (hi - lo).cast("int")), " ")
+
+    part = F.get(F.transform(F.array(words), lambda w: F.array_join(F.transform("blocks", lambda b: cut(w, b)), " ")), F.lit(0))
+    whole = F.size("blocks") == F.size(_blocks(block))
+    texts = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.when(F.size("blocks") == 0, F.array().cast("array<string>")).when(whole, F.array(text)).otherwise(F.array(part)))
+    kept = [c for c in rows.columns if c.startswith("__c_") and c != "__c_text"]
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), *[F.col(c).alias(c[4:]) for c in kept], F.explode(texts).alias(text_col))
+
+
+def _blocks(block: int) -> Column:
+    return F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))
+
+
+def _is_picked(b: Column) -> Column:
+    return F.pmod(b * STEP + F.col("start"), F.col("n")) < F.col("rest")
+
+
+def _taken(block: int) -> Column:
+    shared = lambda b: F.least(F.col("hi"), (b + 1) * block) - F.greatest(F.col("lo"), b * block)
+    picked = F.aggregate(_blocks(block), F.lit(0).cast("long"), lambda total, b: total + F.when(_is_picked(b), shared(b)).otherwise(F.lit(0)))
+    some = F.col("size") * F.col("passes") + F.when(F.col("rest") > 0, picked).otherwise(F.lit(0))
+    return F.when(F.col("size") > 0, some).otherwise(F.lit(0)).cast("long").alias("taken")
+
+
+def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...], texts: bool, seed: int, block: int, shard_words: int) -> DataFrame:
+    """Rows with the place lo..hi of their words in their shard's stream and the shard's quota: passes, and rest of n blocks."""
     store = Scratch(df.sparkSession, "mix")
-    docs = narrow(df, id_col, text_col, source_col)
+    docs = narrow(df, *dict.fromkeys((id_col, text_col, source_col, *carry)))
     draw = _draw(seed, F.col(id_col))
-    sizes = store.table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw")), "sizes")
+    measured = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw"), *([text_col, *carry] if texts else []))
+    sizes = store.table(measured.select("id", "source", "size", "draw"), "sizes")
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     per = targets(per.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))))
     total = F.sum("source_size").over(W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -103,21 +149,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     per = apportion(per, "target", "seats", [], ["rank"], "blocks")
     shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(MAX_SHARDS))
     per = small(store.table(per.select(F.col("source").alias("__s"), "rank", "source_size", "target", "blocks", shards.alias("shards")), "sources"))
-    rows = sizes.join(per, F.col("source").eqNullSafe(F.col("__s"))).withColumn("shard", F.pmod(_number(F.col("draw"), 1), F.col("shards")))
-    quota = rows.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
+    join = lambda t: t.join(per, F.col("source").eqNullSafe(F.col("__s"))).withColumn("shard", F.pmod(_number(F.col("draw"), 1), F.col("shards")))
+    quota = join(sizes).groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
     quota = apportion(quota, "words", "blocks", ["rank"], ["shard"], "quota").where(F.col("words") > 0)
     quota = small(store.table(quota.select(F.col("rank").alias("__r"), F.col("shard").alias("__h"), "words", "quota"), "shards"))
-    rows = rows.join(quota, (F.col("rank") == F.col("__r")) & (F.col("shard") == F.col("__h")), "left")
+    if texts:
+        sizes = measured.select("*", F.coalesce(text_col, F.lit("")).alias("__c_text"), *[F.col(c).alias(f"__c_{c}") for c in carry]).select("id", "source", "size", "draw", "__c_text", *[f"__c_{c}" for c in carry])
+    rows = join(sizes).drop("blocks").join(quota, (F.col("rank") == F.col("__r")) & (F.col("shard") == F.col("__h")), "left")
     upto = F.sum("size").over(W.partitionBy("rank", "shard").orderBy("draw", "id", "size").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("size")).withColumn("n", F.ceil(F.col("words") / block))
     give = F.least(F.col("quota"), F.col("n") * MAX_REPEAT)
     rows = rows.withColumn("passes", F.floor(give / F.col("n"))).withColumn("rest", give - F.col("passes") * F.col("n"))
-    start = _number(_draw(seed, F.col("rank"), F.col("shard")), 1)
-
-    def part(sum_: Column, b: Column) -> Column:
-        shared = F.least(F.col("hi"), (b + 1) * block) - F.greatest(F.col("lo"), b * block)
-        return sum_ + F.when(F.pmod(b * STEP + start, F.col("n")) < F.col("rest"), shared).otherwise(F.lit(0))
-
-    picked = F.aggregate(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)), F.lit(0).cast("long"), part)
-    taken = F.when(F.coalesce(F.col("size"), F.lit(0)) > 0, F.col("size") * F.col("passes") + F.when(F.col("rest") > 0, picked).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("source_size"), "target", taken.alias("taken"))
+    return rows.withColumn("start", _number(_draw(seed, F.col("rank"), F.col("shard")), 1))
