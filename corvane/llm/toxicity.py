@@ -28,6 +28,8 @@ EXAMPLES = 3_000
 CALIBRATION = 6_000
 TERMS = 4_096
 NEIGHBOURS = 15
+#: A term must raise or lower the odds of label 1 by this factor; function words of any language don't.
+ODDS = 3.0
 BLOCK = 64
 REJECT = 0.7
 _WORD = re.compile(r"[^\W_]+")
@@ -109,9 +111,9 @@ class Index:
         blocks = self.most.shape[1]
         bound = w @ self.most[t]
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
+        sims, docs_ = np.zeros(0), np.zeros(0, np.int64)  # the best so far, best first
         at, wave = 0, 4
-        while at < blocks and bound[order[at]] > 0 and (len(best) < k or bound[order[at]] >= best[-1][0] - 1e-12):
+        while at < blocks and bound[order[at]] > 0 and (len(sims) < k or bound[order[at]] >= sims[-1] - 1e-12):
             take = order[at : at + wave]
             take = take[bound[take] > 0]
             lo = self.edges[(t[:, None] * blocks + take[None, :]).ravel()]
@@ -120,12 +122,15 @@ class Index:
             if size.sum():
                 where = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                 docs, weights = self.docs[where], self.weights[where] * np.repeat(np.repeat(w, len(take)), size)
-                found, inverse = np.unique(docs, return_inverse=True)
-                sims = np.bincount(inverse, weights)
-                best += zip(sims.tolist(), found.tolist(), strict=True)
-                best = sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:k]
+                total = np.bincount(docs, weights)
+                found = np.flatnonzero(total)
+                if len(sims) == k:
+                    found = found[total[found] >= sims[-1] - 1e-12]
+                sims, docs_ = np.concatenate([sims, total[found]]), np.concatenate([docs_, found])
+                top = np.lexsort((docs_, -np.round(sims, 12)))[:k]
+                sims, docs_ = sims[top], docs_[top]
             at, wave = at + wave, wave * 2
-        return [(d, s) for s, d in best]
+        return list(zip(docs_.tolist(), sims.tolist(), strict=True))
 
     def votes(self, near: list[tuple[int, float]]) -> float:
         """Share of votes for label 1, each of weight 1 / (0.05 + distance), with one vote for the base rate."""
@@ -193,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The sample is drawn by a hash of the identifier, so it is the same on each
     run. Rows without a label or identifier are not drawn; of an identifier's
     labels the largest counts. Terms are words whose chi-square against the label
-    exceeds what one word of the sample's would reach by chance.
+    exceeds what one word of the sample's would reach by chance, and that change
+    the odds of label 1 by a factor of at least ODDS.
     """
     store = Scratch(docs.sparkSession, "toxicity")
     docs, labels = narrow(docs, id_col, text_col), narrow(labels, id_col, label_col)
@@ -216,7 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     least = max(10.83, 2 * log(m) - log(pi * log(m)))
     b, a = F.col("df") - F.col("a"), F.col("a")
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / (F.col("df") * (n - F.col("df")) * max(n1, 1) * max(n0, 1))
-    vocab = df.withColumn("chi", F.when(F.col("df") < n, chi).otherwise(0.0)).where(F.col("chi") >= least).orderBy(F.desc("chi"), "w").limit(TERMS).select("w", "df").collect()
+    odds = (a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))
+    telling = (F.col("chi") >= least) & ((odds >= ODDS) | (odds <= 1 / ODDS))
+    vocab = df.withColumn("chi", F.when(F.col("df") < n, chi).otherwise(0.0)).where(telling).orderBy(F.desc("chi"), "w").limit(TERMS).select("w", "df").collect()
     vocabulary = {r["w"]: i for i, r in enumerate(vocab)}
     rows = words.mapInArrow(_vectors(vocabulary), f"id {kind}, role int, label int, ids array<long>, tf array<long>").collect()
     rows = [(r["id"], r["role"], r["label"], tuple(zip(r["ids"], r["tf"], strict=True))) for r in rows]
