@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from corvane.plans import lexical, products, vector
+
+QUERIES: dict = lexical.QUERIES | vector.QUERIES | products.QUERIES
+ORACLE_SQL: dict[str, str] = lexical.ORACLE_SQL | vector.ORACLE_SQL | products.ORACLE_SQL
