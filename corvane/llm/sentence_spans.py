@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import narrow
+from corvane.llm.common import Scratch, narrow
 
 SENTENCES = 3
 LEAST_WORDS = 20
@@ -129,6 +129,8 @@ def span_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     t = docs.select(order.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     runs = t.mapInArrow(_spans(count, least, alone), "id long, key long, h0 long, h1 long, first int, n int")
     owner = runs.groupBy("h0", "h1").agg(F.min(F.struct("id", "key", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h0").alias("__h0"), F.col("h1").alias("__h1"), "o")
+    # written, as adaptive execution splits a hot hash only where a join reads both sides from shuffles of its own
+    owner = Scratch(df.sparkSession, "spans").table(owner, "owners")
     late = runs.join(owner, (F.col("h0") == F.col("__h0")) & (F.col("h1") == F.col("__h1"))).where(F.struct("id", "key", "first") != F.col("o"))
     late = late.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("first", "n")).alias("__runs"))
     rows = docs.withColumns({"__order": order, "__mine": F.xxhash64(text)})
