@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import exact_dedup as _exact
 from corvane.llm import mixing as _mixing
+from corvane.llm import oracle as _oracle
 from corvane.llm import packing as _packing
 from corvane.llm import secret_scan as _secrets
 from corvane.llm import sentence_spans as _spans
@@ -65,4 +66,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_packing, op4_sentence_spans, op5_fingerprints, op6_mixing, op7_simhash_dedup, op8_warc, op9_secrets, op10_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(_oracle.ORACLE_SQL)
