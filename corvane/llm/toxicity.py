@@ -29,7 +29,9 @@ CALIBRATION = 6_000
 TERMS = 4_096
 NEIGHBOURS = 15
 #: A term must raise or lower the odds of label 1 by this factor; function words of any language don't.
-ODDS = 3.0
+ODDS = 8.0
+#: A term must stand in this share of the examples, so that the words of one group of copies don't become terms.
+SHARE = 0.004
 BLOCK = 64
 REJECT = 0.7
 _WORD = re.compile(r"[^\W_]+")
@@ -133,8 +135,8 @@ class Index:
         return list(zip(docs_.tolist(), sims.tolist(), strict=True))
 
     def votes(self, near: list[tuple[int, float]]) -> float:
-        """Share of votes for label 1, each of weight 1 / (0.05 + distance), with one vote for the base rate."""
-        w = np.array([1 / (0.05 + max(0.0, 1 - s)) for _, s in near])
+        """Share of votes for label 1, each of weight cosine^2 / (0.05 + distance), with one vote for the base rate."""
+        w = np.array([s * s / (0.05 + max(0.0, 1 - s)) for _, s in near])
         y = np.array([self.labels[d] for d, _ in near], float)
         return float(((w * y).sum() + self.base) / (w.sum() + 1))
 
@@ -198,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The sample is drawn by a hash of the identifier, so it is the same on each
     run. Rows without a label or identifier are not drawn; of an identifier's
     labels the largest counts. Terms are words whose chi-square against the label
-    exceeds what one word of the sample's would reach by chance, and that change
-    the odds of label 1 by a factor of at least ODDS.
+    exceeds what one word of the sample's would reach by chance, that change the
+    odds of label 1 by a factor of at least ODDS and that are in SHARE of the rows.
     """
     store = Scratch(docs.sparkSession, "toxicity")
     docs, labels = narrow(docs, id_col, text_col), narrow(labels, id_col, label_col)
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n1, n0 = size.get(1, 0), size.get(0, 0)
     n = max(n1 + n0, 1)
     df = words.where("role = 0").select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("df"))
-    df = store.table(df.where("df >= 2"), "df")
+    df = store.table(df.where(F.col("df") >= max(2, SHARE * n)), "df")
     m = max(df.count(), 3)
     least = max(10.83, 2 * log(m) - log(pi * log(m)))
     b, a = F.col("df") - F.col("a"), F.col("a")
