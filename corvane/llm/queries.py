@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import exact_dedup as _exact
 from corvane.llm import mixing as _mixing
@@ -39,7 +40,9 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _simhash.edit_fingerprints(_table(spark, sf_dir, "documents"))
+    rows = _simhash.edit_fingerprints(_table(spark, sf_dir, "documents"), halves=True)
+    rows = Scratch(spark, "fingerprints").table(rows, "rows")
+    return _simhash.count_near(rows, F.col("doc_id") % 50 == 0).drop("f0", "f1")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,9 +100,11 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("bucket", F.row_number().over(order).alias("row"), "ghost", "id", "text", F.lead("text").over(order).alias("next_text"))
 
 
-def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", halves: bool = False) -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
+    ``halves`` adds the fingerprint's two words f0 and f1.
+
     The edited text has its last half replaced by the start of the next
     document's text. Defined cases: a null text is empty; a text without words
     has fingerprint zero; ids may be null (last) or repeat (then in order of
@@ -124,7 +126,26 @@ def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     f = f.select("*", *[F.lead(f"f{i}", k).over(order).alias(f"{name}{i}") for i in (0, 1) for name, k in (("e", 1), ("x", 2))])
     f = f.where(~F.col("ghost") & (F.col("kind") == 0))
     near = lambda b: likeness(F.col("f0"), F.col("f1"), F.col(f"{b}0"), F.col(f"{b}1"))
-    return f.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", hexed(F.col("f0"), F.col("f1")).alias("fingerprint"), hexed(F.col("e0"), F.col("e1")).alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"))
+    return f.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", hexed(F.col("f0"), F.col("f1")).alias("fingerprint"), hexed(F.col("e0"), F.col("e1")).alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"), *(["f0", "f1"] if halves else []))
+
+
+def count_near(rows: DataFrame, queries: Column, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """``rows`` (with f0, f1) and n_near: for rows where ``queries`` is true, how many other rows lie within ``radius``.
+
+    Equal fingerprints are one entry of the tables, with their number of rows, so
+    a large group of copies is neither paired nor gathered. ``rows`` is read
+    several times and should be a written table. Other rows have n_near null.
+    """
+    entry = F.struct("f0", "f1").alias("id")
+    index = rows.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("n"))
+    asked = rows.where(queries).select("f0", "f1").distinct()
+    found = search(asked.select(entry, "f0", "f1"), index.select(entry, "f0", "f1"), radius, blocks)
+    size = index.select(entry, "n")
+    near = found.join(size, "id").groupBy("query_id").agg(F.sum("n").alias("__n"))
+    near = near.select(F.col("query_id.f0").alias("__f0"), F.col("query_id.f1").alias("__f1"), "__n", F.lit(True).alias("__q"))
+    t = rows.withColumn("__ask", F.coalesce(queries, F.lit(False)))
+    t = t.join(near, (F.col("f0") == F.col("__f0")) & (F.col("f1") == F.col("__f1")) & (F.col("__ask") == F.col("__q")), "left")
+    return t.select(*rows.columns, (F.col("__n") - 1).alias("n_near"))
 
 
 def block_tables(radius: int, blocks: int, words: int = 2) -> list[list[list[int]]]:

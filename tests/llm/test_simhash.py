@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from corvane.llm.simhash import block_tables, edit_fingerprints, search
+from corvane.llm.simhash import block_tables, count_near, edit_fingerprints, search
 
 
 def follow(rows):
@@ -88,3 +89,22 @@ def test_search_finds_all(spark, radius, blocks):
     want = sorted((i, j, (x ^ y).bit_count()) for i, x in rows if i % 5 == 0 for j, y in rows if (x ^ y).bit_count() <= radius)
     assert got == want
     assert len(block_tables(radius, blocks)) >= 1
+
+
+def test_counts_of_near_rows(spark, make):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(120):
+        w = list(base) if i % 3 else [f"v{rng.randrange(900)}" for _ in range(200)]
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    t = edit_fingerprints(make([*rows, (None, "w1"), (50, "w1 w2")]), halves=True).cache()
+    got = count_near(t, F.col("doc_id") % 5 == 0, 3, 5).collect()
+    mask = (1 << 64) - 1
+    fps = [(r.f0 & mask) << 64 | r.f1 & mask for r in got]
+    assert len(got) == 122
+    for r, f in zip(got, fps, strict=True):
+        want = sum((f ^ g).bit_count() <= 3 for g in fps) - 1
+        assert r.n_near == (want if r.doc_id is not None and r.doc_id % 5 == 0 else None)
