@@ -30,3 +30,21 @@ def get_spark(app: str = "corvane", cpus: int | None = None, **conf: str) -> Spa
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, unless they find it on PYTHONPATH or in the working folder."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
+    found = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if root in found or getattr(sc, "_corvane_shipped", False):
+        return
+    name = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted((root / "corvane").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(name))
+    sc._corvane_shipped = True
