@@ -14,7 +14,7 @@ from corvane.llm.common import DOCUMENT, Scratch
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.mixing import mix_documents
 from corvane.llm.packing import best_fit
-from corvane.llm.simhash_dedup import simhash_dedup
+from corvane.llm.simhash_dedup import near_copies
 from corvane.llm.toxicity import toxicity
 
 
@@ -30,8 +30,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest doc_id stays."""
-    found = simhash_dedup(docs, carry=DOCUMENT)
+    """Of each group of texts with five-word shingles 0.8 alike or more, the row with the smallest doc_id stays."""
+    found = near_copies(docs, carry=DOCUMENT)
     return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*DOCUMENT)
 
 

@@ -25,6 +25,11 @@ from corvane.llm.components import components
 
 RADIUS = 4
 SHINGLE = 4
+#: For near copies: words in a shingle, radius of the word fingerprints, and differing bits of 256 that stand for a
+#: Jaccard similarity of 0.8 (there the expected number is 39, its deviation 6).
+WORDS = 5
+NEAR_RADIUS = 8
+NEAR_BITS = 43
 #: Fingerprints compared as one block; a larger bucket is split into pairs of blocks.
 BLOCK = 4096
 #: Estimated seconds for a probed key and for a verified candidate pair.
@@ -61,6 +66,54 @@ def simhash64(text: pa.Array) -> pa.Array:
     return pa.array([_signed(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None)) for t in text.cast(pa.large_binary())], pa.int64())
 
 
+def _majority(h: np.ndarray) -> np.ndarray:
+    """One 64-bit word per column of ``h``: bits set in over half of its rows."""
+    votes = np.zeros((h.shape[1], 64), np.int64)
+    for at in range(0, len(h), 1 << 14):
+        bits = np.unpackbits(np.ascontiguousarray(h[at : at + (1 << 14)].T).view(np.uint8), bitorder="little").reshape(h.shape[1], -1, 64)
+        votes += np.add.reduce(bits, axis=1, dtype=np.uint32)
+    return np.packbits(2 * votes > len(h), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Four words per hash, by the finalizer of SplitMix64 from four starts."""
+    z = h[:, None] + np.array([(0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1 for k in range(4)], np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def prints(text: bytes | None, shingle: int = WORDS) -> list[int]:
+    """The 64-bit fingerprint of a text's distinct words, and 256 bits over its word shingles, as five signed words.
+
+    A changed word alters one of the former's terms but ``shingle`` of the
+    latter's: the one finds candidates at a small radius, the other tells how
+    alike they are. Letters are lowered in ASCII; without words all is zero.
+    """
+    from xxhash import xxh64_intdigest as xxh
+
+    words = (text or b"").lower().split()
+    if not words:
+        return [0] * 5
+    distinct = np.array([xxh(w, 42) for w in set(words)], np.uint64)
+    joined = b" ".join(words)
+    n = max(len(words) - shingle + 1, 1)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    starts = (ends - size)[:n].tolist()
+    ends = ends[-n:].tolist()
+    hashes = np.array([xxh(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    with np.errstate(over="ignore"):
+        wide = _majority(_mixed(hashes))
+    return [int(x) for x in np.concatenate([_majority(distinct[:, None]), wide]).view(np.int64)]
+
+
+def near_prints(text: pa.Array, shingle: int = WORDS) -> pa.Array:
+    rows = [prints(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in text.cast(pa.large_binary())]
+    cols = np.array(rows, np.int64).reshape(-1, 5).T
+    return pa.StructArray.from_arrays([pa.array(c) for c in cols], [f"p{i}" for i in range(5)])
+
+
 def _bit_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros((64, 64)), 0
     for b in it:
@@ -124,9 +177,6 @@ def plan(n: int, together: np.ndarray, radius: int = RADIUS) -> list[tuple[list[
     return best[1]
 
 
-PROBES = "part int, key long, fp long, home boolean"
-
-
 def _probes(parts: list[tuple[list[int], int]]):
     masks = []
     for i, (bits, t) in enumerate(parts):
@@ -136,37 +186,47 @@ def _probes(parts: list[tuple[list[int], int]]):
 
     def probes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            f = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+            f = cols[0].view(np.uint64)
             for i, mask, flips in masks:
                 step = max(1, (1 << 18) // len(flips))
                 for at in range(0, len(f), step):
-                    x = f[at : at + step]
-                    keys = ((x & mask)[:, None] ^ flips[None, :]).ravel()
-                    home = np.tile(np.arange(len(flips)) == 0, len(x))
-                    yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(keys), i, np.int32)), "key": pa.array(keys.view(np.int64)), "fp": pa.array(np.repeat(x, len(flips)).view(np.int64)), "home": pa.array(home)})
+                    keys = ((f[at : at + step] & mask)[:, None] ^ flips[None, :]).ravel()
+                    out = {"part": pa.array(np.full(len(keys), i, np.int64)), "key": pa.array(keys.view(np.int64))}
+                    yield pa.RecordBatch.from_pydict(out | {n: pa.array(np.repeat(c[at : at + step], len(flips))) for n, c in zip(b.schema.names, cols, strict=True)})
 
     return probes
 
 
-def spanning(f: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs within ``radius`` that link whatever is linked among the fingerprints ``f``."""
+def spanning(f: np.ndarray, radius: int, wide: np.ndarray | None = None, bits: int = 0) -> list[tuple[int, int]]:
+    """Index pairs that link whatever is linked: fingerprints ``f`` within ``radius`` whose rows of ``wide`` differ in at most ``bits``."""
+
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(wide[a] ^ wide[b]).sum(axis=-1, dtype=np.int64) <= bits
+
     if len(f) <= 256:
         near = np.bitwise_count(f[:, None] ^ f[None, :]) <= radius
-        busy = np.flatnonzero(near.sum(axis=1) > 1)
-        if not len(busy):
-            return []
+        x, y = np.nonzero(np.triu(near, 1))
+        if len(x) and wide is not None:
+            keep = same(x, y)
+            x, y = x[keep], y[keep]
+        if len(x) <= len(f):
+            return list(zip(x.tolist(), y.tolist(), strict=True))
+        left = np.unique(np.concatenate([x, y]))
     else:
-        busy = np.arange(len(f))
-    out, left = [], busy
+        left = np.arange(len(f))
+    out = []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             q = todo.pop()
             hit = np.bitwise_count(f[left] ^ f[q]) <= radius
+            if wide is not None and hit.any():
+                hit[hit] = same(left[hit], q)
             if hit.any():
-                found = left[hit]
+                found = left[hit].tolist()
                 out += [(q, x) for x in found]
-                todo += found.tolist()
+                todo += found
                 left = left[~hit]
     return out
 
@@ -192,27 +252,32 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _links(radius: int):
+def _links(radius: int, bits: int):
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
 
         def done(pieces: list[np.ndarray]) -> None:
-            f = np.unique(np.concatenate(pieces)).view(np.uint64)
-            for a, b in spanning(f, radius) if len(f) > 1 else ():
-                forest.link(int(f[a].view(np.int64)), int(f[b].view(np.int64)))
+            """Rows are the columns: fingerprint, node, and the wide words if there are any."""
+            rows = np.concatenate(pieces, axis=1)
+            node, at = np.unique(rows[1], return_index=True)
+            if len(at) > 1:
+                rows = rows[:, at].view(np.uint64)
+                wide = np.ascontiguousarray(rows[2:].T) if len(rows) > 2 else None
+                for a, b in spanning(rows[0], radius, wide, bits):
+                    forest.link(int(node[a]), int(node[b]))
 
         last, held = None, []
         for b in it:
-            keys = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-            fp = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(fp)]
+            cols = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+            keys = cols[:4]
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), cols.shape[1]]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi > lo:
                     if (key := keys[:, lo].tobytes()) != last:
                         if held:
                             done(held)
                         last, held = key, []
-                    held.append(fp[lo:hi])
+                    held.append(cols[4:, lo:hi])
         if held:
             done(held)
         pairs = [(a, r) for a in list(forest.up) if (r := forest.root(a)) != a]
@@ -223,39 +288,44 @@ def _links(radius: int):
     return links
 
 
-def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect whatever fingerprints ``fps`` (fp long, distinct) lie within ``radius``.
+def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, bits: int = 0) -> DataFrame:
+    """Links (a, b) between nodes that connect whatever fingerprints lie within ``radius``.
 
-    A bucket of over ``block`` fingerprints is cut into blocks, and each pair of
-    blocks becomes a group of its own, so no task gathers an unbounded bucket.
-    Within a group only links of a spanning forest leave, not all pairs.
+    ``fps`` has fp and node, one row a node, and may have wide words: then linked
+    nodes also differ in at most ``bits`` bits of those. A bucket of over
+    ``block`` rows is cut into blocks, and each pair of blocks becomes a group of
+    its own, so no task gathers an unbounded bucket. Within a group only links of
+    a spanning forest leave, not all pairs.
     """
-    counts = {r["k"]: r["n"] for r in fps.mapInArrow(_bit_pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # 4097 rows
+    counts = {r["k"]: r["n"] for r in fps.select("fp").mapInArrow(_bit_pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # 4097 rows
     n = counts.pop(4096, 0)
     parts = plan(n, np.array([counts.get(k, 0) for k in range(4096)], float).reshape(64, 64), radius)
-    keys = fps.mapInArrow(_probes(parts), PROBES)
+    names = [c for c in fps.columns if c not in ("fp", "node")]
+    fps = fps.select("fp", "node", *names)
+    keys = fps.mapInArrow(_probes(parts), "part long, key long, " + ", ".join(f"{c} long" for c in fps.columns))
     hot = keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     hot = hot.select(F.col("part").alias("__p"), F.col("key").alias("__k"), F.ceil(F.col("n") / block * 2).alias("__c"))
     keys = keys.join(hot, (F.col("part") == F.col("__p")) & (F.col("key") == F.col("__k")), "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("__c"))
+    mine = F.pmod(F.xxhash64("node"), F.col("__c"))
     pair = lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"))
     pairs = F.when(F.col("__c").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1), pair))
-    keys = keys.select("part", "key", "fp", F.inline(pairs)).select(F.col("part").cast("long"), "key", "i", "j", "fp")
+    keys = keys.select("part", "key", F.inline(pairs), *fps.columns)
     keys = keys.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j")
-    return keys.mapInArrow(_links(radius), "a long, b long")
+    return keys.mapInArrow(_links(radius, bits), "a long, b long")
 
 
-def near_components(rows: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id, members) for the distinct fingerprints of ``rows`` (id, __fp)."""
+def near_components(rows: DataFrame, id_col: str, fp: str, wide: tuple[str, ...] = (), radius: int = RADIUS, bits: int = 0) -> DataFrame:
+    """(node, component_id, members) for the distinct fingerprints of ``rows``, which has a column node for them."""
     store = Scratch(rows.sparkSession, "simhash")
-    fps = store.table(rows.groupBy("__fp").agg(F.min(id_col).alias("best"), F.count(F.lit(1)).alias("n")), "fps")
-    edges = link(fps.select(F.col("__fp").alias("fp")), radius)
+    agg = [F.first(c).alias(c) for c in (fp, *wide) if c != "node"]  # the same in all rows of a node
+    fps = store.table(rows.groupBy("node").agg(F.min(id_col).alias("best"), F.count(F.lit(1)).alias("n"), *agg), "fps")
+    edges = link(fps.select(F.col(fp).alias("fp"), "node", *wide), radius, bits=bits)
     roots = store.table(components(edges), "roots")
-    t = fps.join(roots, F.col("__fp") == F.col("u"), "left").select("__fp", "best", "n", F.coalesce("root", "__fp").alias("root"))
+    t = fps.join(roots, F.col("node") == F.col("u"), "left").select("node", "best", "n", F.coalesce("root", "node").alias("root"))
     linked = roots.select("root").distinct()
     t = store.table(t, "fps_roots")
     groups = t.join(linked, "root", "left_semi").groupBy("root").agg(F.min("best").alias("least"), F.sum("n").alias("all")).withColumnRenamed("root", "__root")
-    return t.join(groups, F.col("root") == F.col("__root"), "left").select(F.col("__fp").alias("fp"), F.coalesce("least", "best").alias("component_id"), F.coalesce("all", "n").alias("members"))
+    return t.join(groups, F.col("root") == F.col("__root"), "left").select(F.col("node").alias("__node"), F.coalesce("least", "best").alias("component_id"), F.coalesce("all", "n").alias("members"))
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), radius: int = RADIUS) -> DataFrame:
@@ -269,11 +339,28 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = narrow(df, *dict.fromkeys((id_col, text_col, *carry)))
     extra = [c for c in dict.fromkeys(carry) if c != id_col]
-    rows = docs.withColumn("__fp", F.arrow_udf(simhash64, "long")(F.col(text_col)))
+    rows = docs.withColumn("node", F.arrow_udf(simhash64, "long")(F.col(text_col)))
     store = Scratch(df.sparkSession, "simhash-rows")
-    only = store.table(rows.select(id_col, "__fp"), "rows")
-    found = near_components(only, id_col, radius)
-    rows = rows.drop(text_col) if text_col not in carry else rows
-    rows = only if not extra else rows
-    hexed = F.lower(F.lpad(F.hex("__fp"), 16, "0"))
-    return rows.join(found, F.col("__fp") == F.col("fp"), "left").select(id_col, *extra, hexed.alias("fingerprint"), "component_id", F.col("members").alias("component_size"))
+    rows = store.table(rows.select(id_col, *[F.col(c).alias(f"__c_{c}") for c in extra], "node"), "rows")
+    found = near_components(rows.select(id_col, "node"), id_col, "node", radius=radius)
+    hexed = F.lower(F.lpad(F.hex("node"), 16, "0"))
+    return rows.join(found, F.col("node") == F.col("__node"), "left").select(id_col, *[F.col(f"__c_{c}").alias(c) for c in extra], hexed.alias("fingerprint"), "component_id", F.col("members").alias("component_size"))
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), radius: int = NEAR_RADIUS, bits: int = NEAR_BITS, shingle: int = WORDS) -> DataFrame:
+    """One row per input row: id, ``carry``, component_id, component_size, linking texts whose shingles are about 0.8 alike or more.
+
+    Candidates come from the word fingerprints by the generalised pigeonhole;
+    they are linked if their 256-bit shingle fingerprints differ in at most
+    ``bits``. Cases are as for ``simhash_dedup``. Rows are written once with
+    their prints, so texts are not fingerprinted twice.
+    """
+    docs = narrow(df, *dict.fromkeys((id_col, text_col, *carry)))
+    extra = [c for c in dict.fromkeys(carry) if c != id_col]
+    kind = "struct<" + ",".join(f"p{i}:long" for i in range(5)) + ">"
+    run = F.arrow_udf(lambda t: near_prints(t, shingle), kind)
+    words = [f"__p{i}" for i in range(5)]
+    rows = docs.withColumn("__p", run(F.col(text_col))).select(id_col, *[F.col(c).alias(f"__c_{c}") for c in extra], *[F.col(f"__p.p{i}").alias(w) for i, w in enumerate(words)])
+    rows = Scratch(df.sparkSession, "near-rows").table(rows.withColumn("node", F.xxhash64(*words)), "rows")
+    found = near_components(rows.select(id_col, "node", *words), id_col, words[0], tuple(words[1:]), radius, bits)
+    return rows.join(found, F.col("node") == F.col("__node"), "left").select(id_col, *[F.col(f"__c_{c}").alias(c) for c in extra], "component_id", F.col("members").alias("component_size"))

@@ -70,7 +70,7 @@ def test_links_connect_all_within_radius(spark, block, skew):
                 x ^= 1 << b
             fps.add(x)
     fps = sorted(fps)
-    df = spark.createDataFrame([(S._signed(x),) for x in fps], "fp long")
+    df = spark.createDataFrame([(S._signed(x), S._signed(x)) for x in fps], "fp long, node long")
     edges = [(r.a, r.b) for r in S.link(df, 4, block).collect()]
     at = {S._signed(x): i for i, x in enumerate(fps)}
     up = list(range(len(fps)))
@@ -112,3 +112,39 @@ def test_components_of_paths_stars_and_cycles(spark):
 
 def test_empty_table(make):
     assert S.simhash_dedup(make([])).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies(make, odd_rows):
+    """Copies with few changed words are found; texts that are unlike stay apart."""
+    rng = random.Random(12)
+    rows, base = list(odd_rows), []
+    for g in range(25):
+        w = [f"t{int(rng.paretovariate(0.5)) % 4000}" for _ in range(rng.choice([80, 300, 900]))]
+        base.append(" ".join(w))
+        rows.append((100 + 10 * g, base[-1]))
+        for k in range(1, 4):
+            v = list(w)
+            for _ in range(max(1, len(v) * k // 200)):
+                v[rng.randrange(len(v))] = f"z{rng.randrange(10**6)}"
+            rows.append((100 + 10 * g + k, " ".join(v)))
+    got = {r.doc_id: r.component_id for r in S.near_copies(make(rows)).collect() if r.doc_id is not None}
+    texts = {r[0]: r[1] for r in rows if r[0] is not None and r[0] >= 100}
+    like = [(i, i - i % 10) for i in texts if i % 10 and jaccard(texts[i], texts[i - i % 10]) >= 0.83]
+    assert len(like) > 50 and sum(got[a] == got[b] for a, b in like) >= 0.97 * len(like)
+    assert all(c - c % 10 == i - i % 10 for i, c in got.items() if i >= 100)
+    assert got[3] == got[4] == -8 and got[0] == got[1] == got[2] == 0
+
+
+def test_wide_words_are_verified(spark):
+    """Equal word fingerprints don't link nodes whose wide words differ too much."""
+    rows = [(5, n, w) for n, w in enumerate([0, 1, 3, 2**40 - 1, 2**40])]
+    df = spark.createDataFrame([(f, n, w) for f, n, w in rows], "fp long, node long, w long")
+    from corvane.llm.components import components
+
+    got = {r.u: r.root for r in components(S.link(df, 4, 4096, 2)).collect()}
+    assert got == {1: 0, 2: 0, 4: 0}
