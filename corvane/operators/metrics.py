@@ -134,3 +134,16 @@ def accuracy(df: DataFrame, predicted: str, expected: str) -> DataFrame:
 def acceptance(df: DataFrame, by: str = "model", status: str = "status") -> DataFrame:
     """Counts of direct, repaired and fallback answers by model."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(status) == s).alias(s) for s in ("direct", "repair", "fallback")])
+
+
+def mean_loss(df: DataFrame, loss: str) -> DataFrame:
+    return df.agg(F.avg(loss).alias("mean_loss"), F.count(F.lit(1)).alias("n"))
+
+
+def representatives(queries: DataFrame) -> DataFrame:
+    """(kind, query_id): the first query of each type, and the first whose text excludes something."""
+    from corvane.functions.text import has_negation
+
+    by_type = queries.groupBy(F.col("query_type").alias("kind")).agg(F.min("query_id").alias("query_id"))
+    negated = queries.where(has_negation(F.col("query_text"))).agg(F.min("query_id").alias("query_id")).where("query_id is not null")
+    return by_type.unionByName(negated.select(F.lit("negation").alias("kind"), "query_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import answers, checks, hooks, represent
+from corvane.operators import answers, checks, hooks, metrics, represent
 from corvane.plans import sql as S
 from corvane.plans.lexical import table
 from corvane.sources import files
@@ -155,9 +155,34 @@ def labelled_lines(spark, d):
     return t.select("p_partkey", "line", T.shorten(F.col("line"), 12).alias("short"))
 
 
+def representative_queries(spark, d):
+    return metrics.representatives(_requests(spark))
+
+
+def label_accuracy(spark, d):
+    """How often quality says the same as the absence of toxicity."""
+    t = metrics.accuracy(table(spark, d, "labels").withColumn("clean", 1 - F.col("toxic")), "quality", "clean")
+    return t.select(F.round("accuracy", 6).alias("accuracy"), "n")
+
+
+def answer_acceptance(spark, d):
+    """Conversation turns as stand-ins for answers of two models."""
+    status = F.get(F.array(F.lit("direct"), F.lit("repair"), F.lit("fallback")), (F.col("turn") % 3).cast("int"))
+    return metrics.acceptance(table(spark, d, "conversations").select(F.col("role").alias("model"), status.alias("status")))
+
+
+def marked_tokens(spark, d):
+    t = table(spark, d, "benchmark").select("item_id", T.marked_tokens(F.col("text")).alias("w"))
+    return t.select("item_id", F.size("w").alias("n"), F.array_join("w", " ").alias("tokens"))
+
+
+def highlight(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.highlight(F.col("p_name"), "ring").alias("name"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (product_text, product_text_short, catalog_checks, infer_need, lexical_hits, lexical_scores, fallback_answer, answer_violations, answer_status, answer_prompts, query_violations, qrels_violations, skipgram_pairs, word2idx, top_tokens, stratified_split, stratified_sample, top_titles, of_top_titles, class_weights, json_fields, labelled_lines)
+    for f in (product_text, product_text_short, catalog_checks, infer_need, lexical_hits, lexical_scores, fallback_answer, answer_violations, answer_status, answer_prompts, query_violations, qrels_violations, skipgram_pairs, word2idx, top_tokens, stratified_split, stratified_sample, top_titles, of_top_titles, class_weights, json_fields, labelled_lines, representative_queries, label_accuracy, answer_acceptance, marked_tokens, highlight)
 }
 
 _TEXT = "concat_ws(chr(10), 'Title: ' || trim(p_name), 'Product type: ' || trim(p_type), 'Brand: ' || trim(p_brand), 'Dimensions: ' || p_size)"
@@ -201,5 +226,10 @@ SELECT a.word AS center, b.word AS context, count(*) AS cnt FROM p a JOIN p b ON
     "of_top_titles": "SELECT source, row_number() OVER (ORDER BY source) - 1 AS label_idx, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)",
     "class_weights": "SELECT lang, round((SELECT count(*) FROM documents) / ((SELECT count(DISTINCT lang) FROM documents) * count(*)), 6) AS weight, count(*) AS n FROM documents GROUP BY 1",
     "json_fields": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS most FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) GROUP BY 1",
+    "representative_queries": f"WITH {_REQ} SELECT query_type AS kind, min(query_id) AS query_id FROM req GROUP BY 1 UNION ALL SELECT 'negation', min(query_id) FROM req WHERE contains(lower(query_text), ' not ')",
+    "label_accuracy": "SELECT round(avg((quality = 1 - toxic)::INT), 6) AS accuracy, count(*) AS n FROM labels",
+    "answer_acceptance": "SELECT role AS model, count(*) AS n, count(*) FILTER (turn % 3 = 0) AS direct, count(*) FILTER (turn % 3 = 1) AS repair, count(*) FILTER (turn % 3 = 2) AS fallback FROM conversations GROUP BY 1",
+    "marked_tokens": "SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS tokens FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:''[\\p{L}\\p{N}_]+)?|[^\\p{L}\\p{N}_\\s]') AS w FROM benchmark)",
+    "highlight": "SELECT p_partkey, regexp_replace(p_name, '\\b(ring)\\b', '<mark>\\1</mark>', 'gi') AS name FROM part",
     "labelled_lines": "SELECT p_partkey, line, CASE WHEN length(line) > 12 THEN left(line, 12) || '...' ELSE line END AS short FROM (SELECT p_partkey, concat_ws(' ', 'title', p_name, 'genre', p_type) AS line FROM part)",
 }

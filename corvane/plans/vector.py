@@ -201,6 +201,29 @@ def silhouette(spark, d):
     return t.groupBy("label").agg(F.round(F.avg("silhouette"), 6).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
+def dbscan(spark, d):
+    t = represent.dbscan(_all(spark, d), "embedding", "vec_id", 1.12, 3)
+    return t.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sparse_stats(spark, d):
+    t = _flat(spark, d).groupBy("id").agg(F.collect_list("dim").alias("indices"))
+    return _r(checks.sparse_stats(t), "mean_nnz")
+
+
+def qrels_coverage(spark, d):
+    q = _queries(spark, d)
+    return answers.qrels_coverage(_qrels(spark, d).where("relevance = 2 and doc_id % 3 = 0"), q)
+
+
+def query_types(spark, d):
+    return _queries(spark, d).groupBy("query_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_combinations(spark, d):
+    return _fused(spark, d).groupBy(F.array_join("source", "+").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def pca(spark, d):
     t, ratio = represent.pca(_all(spark, d), "embedding")
     return t.select("vec_id", F.round(F.get("pc", F.lit(0)), 6).alias("x"), F.round(F.get("pc", F.lit(1)), 6).alias("y"), F.lit(round(sum(ratio), 6)).alias("explained"))
@@ -227,7 +250,7 @@ def metric_checks(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, nearest, l2_normalize, sparsify, sparse_topk, sparse_topk_zeros, minmax, zscore, rrf, weighted_fusion, rrf_image_minmax, rerank_fused, strategy_a, candidate_stats, judgment_pool, precision_recall_f1, map_mrr, dcg_ndcg, graded_metrics, metrics_by_type, error_cases, rank_shift, top_changes, nested_results, odd_one_out, self_retrieval, silhouette, pca, dense_checks, result_checks, score_checks, metric_checks)
+    for f in (dense_topk, nearest, l2_normalize, sparsify, sparse_topk, sparse_topk_zeros, minmax, zscore, rrf, weighted_fusion, rrf_image_minmax, rerank_fused, strategy_a, candidate_stats, judgment_pool, precision_recall_f1, map_mrr, dcg_ndcg, graded_metrics, metrics_by_type, error_cases, rank_shift, top_changes, nested_results, odd_one_out, self_retrieval, silhouette, dbscan, sparse_stats, qrels_coverage, query_types, source_combinations, pca, dense_checks, result_checks, score_checks, metric_checks)
 }
 
 _V = f"WITH {S.VECTORS}"
@@ -314,6 +337,18 @@ n AS (SELECT label, count(*) AS n FROM x GROUP BY 1),
 m AS (SELECT a.id, a.label, b.label AS other, sum(CASE WHEN a.id = b.id THEN 0 ELSE sqrt(greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 0)) END) AS total FROM x a, x b GROUP BY ALL),
 s AS (SELECT id, m.label, max(CASE WHEN other = m.label AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN other <> m.label THEN total / n END) AS b FROM m JOIN n ON n.label = other GROUP BY ALL)
 SELECT label, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM s GROUP BY 1""",
+    "dbscan": """WITH RECURSIVE x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM x a, x b WHERE list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v) <= 1.12 * 1.12 + 1e-9),
+core AS MATERIALIZED (SELECT a AS id FROM p GROUP BY 1 HAVING count(*) >= 3),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (FROM core) AND b IN (FROM core)),
+r AS (SELECT id, id AS l FROM core UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.id WHERE r.l < e.b),
+c AS (SELECT id, min(l) AS l FROM r GROUP BY 1),
+m AS (SELECT p.a AS id, min(c.l) AS cluster FROM p JOIN c ON c.id = p.b GROUP BY 1)
+SELECT cluster, count(*) AS n FROM x LEFT JOIN m USING (id) GROUP BY 1""",
+    "sparse_stats": f"{_V} SELECT round(avg(n), 6) AS mean_nnz, min(n) AS min_nnz, max(n) AS max_nnz, 0 AS failures FROM (SELECT id, count(*) AS n FROM sp GROUP BY 1)",
+    "qrels_coverage": f"{_V}, {S.QRELS} SELECT count(*) AS queries, count(*) FILTER (n = 0) AS missing, min(n) AS least, max(n) AS most FROM (SELECT q.query_id, count(r.doc_id) AS n FROM qs q LEFT JOIN qrels r ON r.query_id = q.query_id AND relevance = 2 AND r.doc_id % 3 = 0 GROUP BY 1)",
+    "query_types": f"{_V} SELECT query_type, count(*) AS n FROM qs GROUP BY 1",
+    "source_combinations": f"{_V} SELECT concat_ws('+', CASE WHEN dr IS NOT NULL THEN 'dense' END, CASE WHEN sr IS NOT NULL THEN 'sparse' END) AS source, count(*) AS n FROM both_ GROUP BY 1",
     "dense_checks": _CHECK({"unit norms": "true", "one length": "true", "all finite": "true"}),
     "result_checks": _CHECK({"ranks are 1..n": "true", "no duplicates": "true", "identifiers are known": "true", "image queries have no sparse score": "true", "reranked results were retrieved": "true"}),
     "score_checks": _CHECK({"scores are finite": "true", "cosines are within 1.01": "true", "cross-encoder scores vary": "true"}),

@@ -48,3 +48,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root))
     sc.addPyFile(str(name))
     sc._corvane_shipped = True
+
+
+def cut(df):
+    """``df`` with its lineage cut by a checkpoint in the folder that the cluster shares; a folder of its own only where none is set."""
+    import tempfile
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+    return df.checkpoint()

@@ -163,6 +163,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first of ``paths`` that is there; none raises an error instead of giving a default."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return path
+    raise FileNotFoundError(f"none of {list(paths)} exists")
+
+
 def index_exists(spark: SparkSession, root: str) -> bool:
     return all(exists(spark, index_path(root, n)) for n in INDEX_NAMES)
 
