@@ -88,7 +88,11 @@ def self_check(posts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> dict[str, DataFrame]:
-    """All tables of an index, lazily, from one set of field terms."""
-    terms = field_terms(docs, id_col, fields)
+    """All tables of an index, lazily."""
+    return tables(field_terms(docs, id_col, fields))
+
+
+def tables(terms: DataFrame) -> dict[str, DataFrame]:
+    """The same from field terms, best a written table, as each of the four reads them."""
     posts, lengths = postings(terms), doc_lengths(terms)
     return {"postings": posts, "doc_lengths": lengths, "field_stats": field_stats(lengths), "tiers": tiers(posts)}

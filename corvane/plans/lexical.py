@@ -9,6 +9,7 @@ from corvane.functions import stemming
 from corvane.functions import text as T
 from corvane.operators import index, near_duplicates, ranking, search, snippets, spelling
 from corvane.plans import sql as S
+from corvane.session import spread, stored
 
 MISSPELT = ("thinge", "woth", "eratiom", "blehere", "enton", "zzqx")
 SENTENCES = ("Thinge with erath!", "(woth) Ereath, unknwon", "the onand")
@@ -19,7 +20,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +31,15 @@ def _three(spark: SparkSession, d: str) -> DataFrame:
     return index.field_terms(_docs(spark, d), "doc_id", {"description": T.terms(F.col("text")), "genres": T.terms(F.col("lang")), "characters": T.terms(F.col("source"))})
 
 
+def _search_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms, written: ranking reads them for postings, frequencies and lengths."""
+    return stored(_terms(spark, d))
+
+
+def _search_three(spark: SparkSession, d: str) -> DataFrame:
+    return stored(_three(spark, d))
+
+
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return ranking.query_terms(table(spark, d, "benchmark"), "item_id", T.terms(F.col("text")))
 
@@ -119,7 +129,7 @@ def index_self_check(spark, d):
 
 
 def idf(spark, d):
-    t = _terms(spark, d)
+    t = _search_terms(spark, d)
     n = index.field_stats(index.doc_lengths(t)).select("n_docs")
     stats = index.term_stats(index.postings(t)).join(F.broadcast(n), how="cross")  # one row
     return stats.select("term", "df", "cf", F.round(ranking.idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
@@ -127,7 +137,7 @@ def idf(spark, d):
 
 def _vsm(method: str):
     def run(spark, d):
-        t, q = _terms(spark, d), _queries(spark, d)
+        t, q = _search_terms(spark, d), stored(_queries(spark, d))
         posts = index.postings(t, only=q)
         return _ranked(ranking.vector_space(posts, q, index.field_stats(index.doc_lengths(t)), method))
 
@@ -135,26 +145,26 @@ def _vsm(method: str):
 
 
 def bm25_topk(spark, d):
-    t, q = _terms(spark, d), _queries(spark, d)
+    t, q = _search_terms(spark, d), stored(_queries(spark, d))
     lengths = index.doc_lengths(t)
     return _ranked(ranking.bm25(index.postings(t, only=q), q, lengths, index.field_stats(lengths)))
 
 
 def bm25_fields(spark, d):
-    t, q = _three(spark, d), _field_queries(spark, d)
+    t, q = _search_three(spark, d), stored(_field_queries(spark, d))
     lengths = index.doc_lengths(t)
     scores = ranking.bm25(index.postings(t, only=q), q, lengths, index.field_stats(lengths))
     return _ranked(search.aggregate(scores, search.weights_of([0.3, 0.3, 0.4])))
 
 
 def vsm_fields(spark, d):
-    t, q = _three(spark, d), _field_queries(spark, d)
+    t, q = _search_three(spark, d), stored(_field_queries(spark, d))
     scores = ranking.vector_space(index.postings(t, only=q), q, index.field_stats(index.doc_lengths(t)), "ltn.lnn")
     return _ranked(search.aggregate(scores, search.weights_of({"description": 0.6, "genres": 0.2, "characters": 0.2})))
 
 
 def tiered_search(spark, d):
-    t, q = _three(spark, d), _field_queries(spark, d)
+    t, q = _search_three(spark, d), stored(_field_queries(spark, d))
     posts = index.tiers(index.postings(t, only=q))
     scores = ranking.vector_space(posts, q, index.field_stats(index.doc_lengths(t)), "ltn.lnn", extra=("tier",))
     return _ranked(search.aggregate(search.tiered(scores, 10), search.weights_of([0.3, 0.3, 0.4])))
@@ -162,7 +172,7 @@ def tiered_search(spark, d):
 
 def _lm(smoothing: str):
     def run(spark, d):
-        t, q = _terms(spark, d), _queries(spark, d)
+        t, q = _search_terms(spark, d), stored(_queries(spark, d))
         return _ranked(ranking.language_model(index.postings(t), q, index.doc_lengths(t), smoothing))
 
     return run
@@ -178,12 +188,12 @@ def kgrams(spark, d):
 
 def spell_candidates(spark, d):
     words = spark.createDataFrame([(w,) for w in MISSPELT], "word string")
-    return spelling.candidates(words, vocab(spark, d)).select("word", "candidate", F.round("score", 6).alias("score"), "rank")
+    return spelling.candidates(words, stored(vocab(spark, d))).select("word", "candidate", F.round("score", 6).alias("score"), "rank")
 
 
 def spell_check(spark, d):
     q = spark.createDataFrame(list(enumerate(SENTENCES)), "query_id long, query string")
-    return spelling.spell_check(q, vocab(spark, d))
+    return spelling.spell_check(q, stored(vocab(spark, d)))
 
 
 def shingles(spark, d):
@@ -225,7 +235,8 @@ def search_engine(spark, d):
     """The engine's batch search with its defaults."""
     docs = _docs(spark, d)
     fields = {"description": T.terms(F.col("text")), "genres": T.terms(F.col("lang")), "characters": T.terms(F.col("source"))}
-    engine = search.SearchEngine(index.build(docs, "doc_id", fields), docs)
+    terms = stored(index.field_terms(docs, "doc_id", fields))
+    engine = search.SearchEngine(index.tables(terms), docs)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" en src"), (F.col("item_id") % 20).cast("string")).alias("query"))
     return engine.search(q).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 

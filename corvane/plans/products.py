@@ -9,6 +9,7 @@ from corvane.functions import text as T
 from corvane.operators import answers, checks, hooks, metrics, represent
 from corvane.plans import sql as S
 from corvane.plans.lexical import table
+from corvane.session import spread
 from corvane.sources import files
 
 REQUESTS = (
@@ -109,7 +110,7 @@ def skipgram_pairs(spark, d):
 
 
 def _corpus(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(T.corpus_words(F.col("text")).alias("words"))
+    return spread(table(spark, d, "documents")).select(T.corpus_words(F.col("text")).alias("words"))
 
 
 def word2idx(spark, d):

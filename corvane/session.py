@@ -59,3 +59,43 @@ def cut(df):
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
     return df.checkpoint()
+
+
+def stored(df):
+    """``df`` written once as parquet to the folder that the cluster shares, and read back.
+
+    For what several branches of a plan read and is dear to compute, as tokens
+    are. Written tables survive lost executors; they go when the driver ends.
+    """
+    import atexit
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = sc._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="corvane-")
+    path = f"{root.rstrip('/')}/corvane/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        try:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may have ended first
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """``df`` of files, dealt out anew if it has fewer files than the session has cores.
+
+    A file of one row group is read by one task, which would then do all the
+    work on its texts. Larger inputs are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
