@@ -179,4 +179,5 @@ def search(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int =
     d = [F.col(f"q{i}").bitwiseXOR(F.col(f"x{i}")) for i in (0, 1)]
     first = F.coalesce(*[F.when((d[0].bitwiseAND(F.lit(m[0])) == 0) & (d[1].bitwiseAND(F.lit(m[1])) == 0), F.lit(i)) for i, m in enumerate(masks)])
     distance = F.bit_count(d[0]) + F.bit_count(d[1])
-    return q.join(x, ["t", "k0", "k1"]).where((distance <= radius) & (first == F.col("t"))).select(F.col("qid").alias("query_id"), F.col("xid").alias("id"), distance.alias("distance"))
+    # both sides are many times the rows they come from, which Spark's estimate of a broadcast doesn't see
+    return q.join(x.hint("merge"), ["t", "k0", "k1"]).where((distance <= radius) & (first == F.col("t"))).select(F.col("qid").alias("query_id"), F.col("xid").alias("id"), distance.alias("distance"))
