@@ -295,12 +295,19 @@ hp AS (SELECT i, ((1103515245 + 2 * i * 12345) % 4294967311)::BIGINT AS a, ((123
 mh AS MATERIALIZED (SELECT d.doc_id, hp.i AS hash_idx, coalesce(min((a * r + b) % 4294967311), 0)::BIGINT AS minhash FROM documents d CROSS JOIN hp LEFT JOIN (SELECT doc_id, r FROM sh JOIN dict USING (shingle)) x ON x.doc_id = d.doc_id GROUP BY ALL),
 bands AS MATERIALIZED (SELECT doc_id, hash_idx // 4 AS band, list(minhash ORDER BY hash_idx) AS part FROM mh GROUP BY ALL),
 pairs AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_shared_bands FROM bands x JOIN bands y ON x.band = y.band AND x.part = y.part AND x.doc_id < y.doc_id GROUP BY ALL)"""
-_CAND = f"""{_VOCAB},
-w AS (SELECT unnest([{', '.join(S.quoted(w) for w in MISSPELT)}]) AS word),
-c AS (SELECT w.word, v.word AS candidate, cnt, len(list_intersect({_GRAMS.format('w.word')}, {_GRAMS.format('v.word')})) AS inter, len({_GRAMS.format('w.word')}) + len({_GRAMS.format('v.word')}) AS both_, (SELECT max(cnt) FROM vocab) AS most FROM w CROSS JOIN vocab v WHERE w.word NOT IN (SELECT word FROM vocab)),
+_FIND = f"""c AS (SELECT w.word, v.word AS candidate, cnt, len(list_intersect({_GRAMS.format('w.word')}, {_GRAMS.format('v.word')})) AS inter, len({_GRAMS.format('w.word')}) + len({_GRAMS.format('v.word')}) AS both_, (SELECT max(cnt) FROM vocab) AS most FROM w CROSS JOIN vocab v WHERE w.word NOT IN (SELECT word FROM vocab)),
 c2 AS (SELECT *, inter / (both_ - inter)::DOUBLE AS jac, 0.75 * inter / (both_ - inter)::DOUBLE + 0.20 * cnt / most + 0.05 / (1.0 + abs(length(candidate) - length(word))) AS score FROM c WHERE inter > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(score, 12) DESC, round(jac, 12) DESC, cnt DESC, candidate DESC) AS rank FROM c2)"""
 
+_CAND = f"{_VOCAB}, w AS (SELECT unnest([{', '.join(S.quoted(w) for w in MISSPELT)}]) AS word), {_FIND}"
+_CHECKED = f"""{_VOCAB},
+s AS (SELECT * FROM (VALUES {', '.join(f"({i}, {S.quoted(t)})" for i, t in enumerate(SENTENCES))}) v(query_id, query)),
+tk AS (SELECT query_id, i, tok[i] AS token FROM (SELECT query_id, tok, unnest(range(1, len(tok) + 1)) AS i FROM (SELECT query_id, string_split(query, ' ') AS tok FROM s))),
+p AS (SELECT *, regexp_extract(token, '^[^\\p{{L}}\\p{{N}}_]*') AS prefix, regexp_extract(token, '[^\\p{{L}}\\p{{N}}_]*$') AS suffix FROM tk),
+k AS (SELECT *, substr(token, length(prefix) + 1, length(token) - length(prefix) - length(suffix)) AS core FROM p),
+w AS (SELECT DISTINCT lower(core) AS word FROM k WHERE core <> ''), {_FIND},
+x AS (SELECT k.*, coalesce(candidate, lower(core)) AS best FROM k LEFT JOIN r ON r.word = lower(core) AND r.rank = 1)"""
+
 ORACLE_SQL = {
     "tokenize": f"SELECT doc_id, len(w) AS n_tokens, w[1] AS first_tok, w[-1] AS last_tok FROM (SELECT doc_id, {S.tokens('text')} AS w FROM documents)",
     "normalize_suffix": f"SELECT d.doc_id, count(term) AS n_terms, count(DISTINCT term) AS n_distinct FROM documents d LEFT JOIN ({S.terms(S.DOCS)}) t ON t.k = d.doc_id GROUP BY 1",
@@ -334,6 +341,7 @@ s0 AS (SELECT field, query_id, doc_id, score FROM m LEFT JOIN stop_ USING (query
     "vocab": f"WITH {_VOCAB} SELECT word, cnt FROM vocab",
     "kgrams": f"WITH {_VOCAB} SELECT gram, count(*) AS n_words, min(word) AS first_word FROM (SELECT word, unnest({_GRAMS.format('word')}) AS gram FROM vocab) GROUP BY 1",
     "spell_candidates": f"WITH {_CAND} SELECT word, candidate, round(score, 6) AS score, rank FROM r WHERE rank <= 5 UNION ALL SELECT word, word, NULL, 1 FROM w WHERE word NOT IN (SELECT word FROM r)",
+    "spell_check": f"WITH {_CHECKED} SELECT query_id, string_agg(prefix || CASE WHEN left(core, 1) <> lower(left(core, 1)) THEN upper(left(best, 1)) || lower(substr(best, 2)) ELSE best END || suffix, ' ' ORDER BY i) AS corrected FROM x GROUP BY 1",
     "shingles": f"WITH {_SHINGLES} SELECT d.doc_id, count(shingle) AS n_shingles FROM documents d LEFT JOIN sh USING (doc_id) GROUP BY 1",
     "minhash": f"WITH {_MIN} SELECT doc_id, hash_idx, minhash FROM mh",
     "lsh_band_pairs": f"WITH {_MIN} SELECT a, b, n_shared_bands FROM pairs",
