@@ -18,6 +18,7 @@ def get_spark(app: str = "corvane", cpus: int | None = None, **conf: str) -> Spa
         "spark.master": f"local[{cpus}]",
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # small inputs keep all cores busy
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
