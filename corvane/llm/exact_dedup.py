@@ -59,11 +59,13 @@ class PatriciaTrie:
     ``limit`` bytes of resident strings, the largest subtree below the first
     branching node goes to a file in ``folder`` and later strings that reach it
     are appended there; ``items`` then reads each such file into a trie of its own.
+    Files of earlier spills within that subtree are read together with its file.
     """
 
     def __init__(self, limit: int = TRIE_BYTES, folder: str | None = None):
         self.limit, self.folder = limit, folder
-        self.root, self.bytes, self.files, self.stuck = _Node(b"", 0, 0), 0, [], 0
+        self.root, self.bytes, self.stuck = _Node(b"", 0, 0), 0, 0
+        self.files: dict[str, list[str]] = {}  # file of a stub → files of the stubs that it replaced
 
     def insert(self, key: bytes, best: int, count: int = 1) -> None:
         node, at, end = self.root, 0, len(key)
@@ -106,6 +108,14 @@ class PatriciaTrie:
                 yield path, node.best, node.count
             todo += [(k, path) for k in (node.kids or {}).values()]
 
+    def _stubs(self, node: _Node) -> Iterator[str]:
+        todo = [node]
+        while todo:
+            node = todo.pop()
+            if node.spill is not None:
+                yield node.spill
+            todo += (node.kids or {}).values()
+
     def _append(self, name: str, key: bytes, best: int, count: int) -> None:
         with open(name, "ab") as f:
             f.write(_HEAD.pack(best, count, len(key)) + key)
@@ -131,20 +141,21 @@ class PatriciaTrie:
         stub = _Node(gone.buf[gone.lo : gone.lo + 1], 0, 1)
         stub.spill = name
         node.kids[most] = stub
-        self.files.append(name)
+        self.files[name] = [x for old in self._stubs(gone) for x in (*self.files.pop(old), old)]
         self.bytes -= sizes[most]
 
     def items(self) -> Iterator[tuple[bytes, int, int]]:
         """(string, smallest identifier, rows) for each distinct string."""
         yield from self._walk(self.root, b"")
         self.root = _Node(b"", 0, 0)
-        for name in self.files:
+        for last, earlier in self.files.items():
             part = PatriciaTrie(self.limit, self.folder)
-            with open(name, "rb") as f:
-                while head := f.read(_HEAD.size):
-                    best, count, n = _HEAD.unpack(head)
-                    part.insert(f.read(n), best, count)
-            os.unlink(name)
+            for name in (*earlier, last):
+                with open(name, "rb") as f:
+                    while head := f.read(_HEAD.size):
+                        best, count, n = _HEAD.unpack(head)
+                        part.insert(f.read(n), best, count)
+                os.unlink(name)
             yield from part.items()
 
 

@@ -62,6 +62,23 @@ def test_trie_spills_subtrees(tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def test_spill_above_an_earlier_one(tmp_path):
+    """Later keys leave the prefix that all keys up to the first spill share, so a spill takes a subtree with a stub."""
+    rng = random.Random(2)
+    draw = lambda head, n: [head + bytes(rng.choices(b"abc", k=30)) for _ in range(n)]
+    early = draw(b"header ", 300)
+    keys = early + draw(b"other ", 20) + draw(b"header ", 300) + early + draw(b"he", 100) + early
+    trie, want, nested = PatriciaTrie(limit=20_000, folder=str(tmp_path)), {}, False
+    for i, k in enumerate(keys):
+        trie.insert(k, i)
+        want.setdefault(k, [i, 0])[1] += 1
+        nested = nested or any(trie.files.values())
+    assert nested
+    got = list(trie.items())
+    assert len(got) == len(want) and {k: [b, n] for k, b, n in got} == want
+    assert not list(tmp_path.iterdir())
+
+
 def test_hot_group(make):
     rows = [(i, "copy") for i in range(400)] + [(1000 + i, f"text {i}") for i in range(200)]
     t = exact_dedup(make(rows)).collect()
