@@ -1,10 +1,13 @@
 """Substring duplicates as spans of consecutive sentences.
 
-From each sentence a span slides on: the shortest run of sentences from there that
-has SENTENCES sentences and LEAST_WORDS words, or ALONE_WORDS words (a passage of
-that length counts even in one or two sentences). Spans are hashed and joined over
-the whole corpus; of equal spans the one with the smallest (identifier, position)
-is the first. Sentences that a non-first span covers are removed.
+A span is a run of sentences that has SENTENCES sentences and LEAST_WORDS words, or
+ALONE_WORDS words (a passage of that length counts even in one or two sentences).
+Taken are the shortest span from each sentence on and the shortest span back from
+each sentence. A passage that holds a span is covered by those within it: from a
+sentence before the start of the last one back, the shortest one on ends within the
+passage too. Spans are hashed and joined over the whole corpus; of equal spans the
+one with the smallest (identifier, position) is the first. Sentences that a
+non-first span covers are removed.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def spans(text: str, count: int = SENTENCES, least: int = LEAST_WORDS, alone: int = ALONE_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, 128-bit hash) of each sliding span."""
+def _measured(text: str) -> tuple[list[int], list[bytes]]:
+    """Number of words and hash of each sentence."""
     from xxhash import xxh3_128_digest as digest
 
     words, marks = [], []
@@ -48,6 +51,11 @@ def spans(text: str, count: int = SENTENCES, least: int = LEAST_WORDS, alone: in
         w = text[a:b].split()
         words.append(len(w))
         marks.append(digest(" ".join(w)))
+    return words, marks
+
+
+def _onward(words: list[int], count: int, least: int, alone: int) -> Iterator[tuple[int, int]]:
+    """(first sentence, end) of the shortest span from each sentence on."""
     j = total = 0
     for i in range(len(words)):
         while j < len(words) and not (total >= alone or total >= least and j - i >= count):
@@ -59,12 +67,33 @@ def spans(text: str, count: int = SENTENCES, least: int = LEAST_WORDS, alone: in
             while k - 1 > i and (less - words[k - 1] >= alone or less - words[k - 1] >= least and k - 1 - i >= count):
                 k -= 1
                 less -= words[k]
-            yield i, k - i, digest(b"".join(marks[i:k]))
+            yield i, k
             total -= words[i]
         else:
             return
 
 
+def spans(text: str, count: int = SENTENCES, least: int = LEAST_WORDS, alone: int = ALONE_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, 128-bit hash) of the shortest span from each sentence on."""
+    from xxhash import xxh3_128_digest as digest
+
+    words, marks = _measured(text)
+    for i, k in _onward(words, count, least, alone):
+        yield i, k - i, digest(b"".join(marks[i:k]))
+
+
+def all_spans(text: str, count: int = SENTENCES, least: int = LEAST_WORDS, alone: int = ALONE_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """``spans``, and in the same form the shortest span back from each sentence where it is another one."""
+    from xxhash import xxh3_128_digest as digest
+
+    words, marks = _measured(text)
+    n = len(words)
+    on = list(_onward(words, count, least, alone))
+    back = [(n - k, n - i) for i, k in _onward(words[::-1], count, least, alone)]
+    for i, k in dict.fromkeys(on + back):
+        yield i, k - i, digest(b"".join(marks[i:k]))
+
+
 def _spans(count: int, least: int, alone: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -72,7 +101,7 @@ def _spans(count: int, least: int, alone: int):
                 part = b.slice(at, 512)
                 row, first, n, hashes = [], [], [], []
                 for k, text in enumerate(part.column(2)):
-                    for i, size, h in spans(text.as_py(), count, least, alone):
+                    for i, size, h in all_spans(text.as_py(), count, least, alone):
                         row.append(k)
                         first.append(i)
                         n.append(size)

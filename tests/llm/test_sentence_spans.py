@@ -75,6 +75,28 @@ def test_against_brute_force(make, odd_rows):
         assert sum(p in r.text for r in got) == 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=12), st.integers(0, 60), st.integers(0, 60))
+def test_spans_within_a_passage_cover_it(sizes, before, after):
+    passage = [[f"p{k}_{i}" for i in range(n)] for k, n in enumerate(sizes) if n]
+    n = sum(map(len, passage))
+    text = ". ".join(" ".join(w) for w in [["x"] * (before + 1), *passage, ["y"] * (after + 1)]) + "."
+    inside = {k for i, size, _ in S.all_spans(text) if i >= 1 and i + size <= 1 + len(passage) for k in range(i, i + size)}
+    whole = n >= S.ALONE_WORDS or n >= S.LEAST_WORDS and len(passage) >= S.SENTENCES
+    assert inside == (set(range(1, 1 + len(passage))) if whole else set())
+    assert {(i, k) for i, k, _ in S.spans(text)} <= {(i, k) for i, k, _ in S.all_spans(text)}
+
+
+def test_a_passage_goes_to_its_last_sentence(make):
+    rng = random.Random(9)
+    rows = []
+    for at, sizes in ((0, (40, 15, 10)), (100, (60, 24, 24)), (200, (4, 5, 6, 4, 5, 4, 5))):
+        p = " ".join(sentence(rng, n) for n in sizes)
+        rows += [(at + i, sentence(rng, 9) + "\n" + p + "\n" + sentence(rng, 11 + i)) for i in range(4)]
+    left = {x.doc_id: x for x in S.span_dedup(make(rows)).collect()}
+    assert [left[at + i].n_removed for at in (0, 100, 200) for i in range(4)] == [0, 3, 3, 3, 0, 3, 3, 3, 0, 7, 7, 7]
+
+
 def test_ranges_name_what_went(make):
     rng = random.Random(8)
     p = " ".join(sentence(rng, 12) for _ in range(5))
