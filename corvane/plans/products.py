@@ -113,6 +113,11 @@ def _corpus(spark, d) -> DataFrame:
     return spread(table(spark, d, "documents")).select(T.corpus_words(F.col("text")).alias("words"))
 
 
+def skipgram_pairs_documents(spark, d):
+    """Pairs of all documents; ``skipgram_pairs`` has those of the benchmark's few texts."""
+    return represent.pair_counts(_corpus(spark, d), 2)
+
+
 def word2idx(spark, d):
     return represent.word_index(_corpus(spark, d))
 
@@ -183,7 +188,7 @@ def highlight(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (product_text, product_text_short, catalog_checks, infer_need, lexical_hits, lexical_scores, fallback_answer, answer_violations, answer_status, answer_prompts, query_violations, qrels_violations, skipgram_pairs, word2idx, top_tokens, stratified_split, stratified_sample, top_titles, of_top_titles, class_weights, json_fields, labelled_lines, representative_queries, label_accuracy, answer_acceptance, marked_tokens, highlight)
+    for f in (product_text, product_text_short, catalog_checks, infer_need, lexical_hits, lexical_scores, fallback_answer, answer_violations, answer_status, answer_prompts, query_violations, qrels_violations, skipgram_pairs, skipgram_pairs_documents, word2idx, top_tokens, stratified_split, stratified_sample, top_titles, of_top_titles, class_weights, json_fields, labelled_lines, representative_queries, label_accuracy, answer_acceptance, marked_tokens, highlight)
 }
 
 _TEXT = "concat_ws(chr(10), 'Title: ' || trim(p_name), 'Product type: ' || trim(p_type), 'Brand: ' || trim(p_brand), 'Dimensions: ' || p_size)"
@@ -219,6 +224,8 @@ v AS (SELECT doc_id * 2 AS row, list_filter(CASE WHEN doc_id % 13 = 0 THEN ['rel
 SELECT row, unnest(m) AS violation FROM v""",
     "skipgram_pairs": f"""WITH s AS (SELECT item_id, {_CORPUS} AS w FROM benchmark), p AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM s)
 SELECT a.word AS center, b.word AS context, count(*) AS cnt FROM p a JOIN p b ON a.item_id = b.item_id AND a.i <> b.i AND abs(a.i - b.i) <= 2 GROUP BY ALL""",
+    "skipgram_pairs_documents": f"""WITH s AS (SELECT row_number() OVER () AS row, {_CORPUS} AS w FROM documents), p AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM s)
+SELECT a.word AS center, b.word AS context, count(*) AS cnt FROM p a JOIN p b ON a.row = b.row AND a.i <> b.i AND abs(a.i - b.i) <= 2 GROUP BY ALL""",
     "word2idx": f"SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM (SELECT DISTINCT unnest(w) AS word FROM (SELECT {_CORPUS} AS w FROM documents) WHERE len(w) >= 2)",
     "top_tokens": f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_CORPUS}) AS word FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "stratified_split": "SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '|0'), doc_id) <= greatest(least(round_even(count(*) OVER (PARTITION BY quality) * 0.2, 0)::BIGINT, count(*) OVER (PARTITION BY quality) - 1), 1) THEN 'val' ELSE 'train' END AS split FROM labels",

@@ -1,10 +1,12 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import answers as A
 from corvane.operators import checks, hooks
+from corvane.plans import products
 from corvane.sources import files
 from corvane.streaming import incremental
 
@@ -179,3 +181,13 @@ def test_stream_keeps_postings_up_to_date(spark, tmp_path):
     want = index.postings(index.field_terms(spark.createDataFrame([("1", "red ring"), ("3", "red bolt")], "id string, text string"), "id", fields()))
     got = store.read()
     assert got.exceptAll(want.select(got.columns)).count() == 0 and want.select(got.columns).exceptAll(got).count() == 0
+
+
+def test_skipgram_pairs_of_documents(spark, tmp_path):
+    texts = ["alpha beta gamma alpha", "beta gamma", None, "", "delta", "hot " * 500, "alpha beta gamma alpha"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for w in ((t or "").split() for t in texts):
+        want.update((a, b) for i, a in enumerate(w) for j, b in enumerate(w) if i != j and abs(i - j) <= 2)
+    got = products.QUERIES["skipgram_pairs_documents"](spark, str(tmp_path)).collect()
+    assert {(r.center, r.context): r.cnt for r in got} == want and len(got) == len(want)
