@@ -1,169 +1,235 @@
 """Substring duplicates as spans of consecutive sentences.
 
-A span is a run of sentences that has SENTENCES sentences and LEAST_WORDS words, or
-ALONE_WORDS words (a passage of that length counts even in one or two sentences).
-Taken are the shortest span from each sentence on and the shortest span back from
-each sentence. A passage that holds a span is covered by those within it: from a
-sentence before the start of the last one back, the shortest one on ends within the
-passage too. Spans are hashed and joined over the whole corpus; of equal spans the
-one with the smallest (identifier, position) is the first. Sentences that a
-non-first span covers are removed.
+A sentence here ends at . ! ? or a line end, and also after a word that a hash of it
+and the word before it in the sentence picks, one in CUT. The last kind of end depends
+on two words only, so a passage pasted into the middle of foreign text falls into the
+same sentences there as elsewhere but for its edges, and text without stops is cut too.
+
+A span is a run of at least SENTENCES sentences and LEAST_WORDS words. Taken are the
+shortest span from each sentence on and the shortest span back from each sentence,
+so a passage is covered to both of its ends. Spans are hashed and joined over the
+whole corpus; of equal spans the one in the row with the smallest (identifier, text
+hash), and there the first, is the first. Sentences that a non-first span covers are
+removed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, narrow
 
 SENTENCES = 3
-LEAST_WORDS = 20
-ALONE_WORDS = 50
-LAST = (1 << 63) - 1  # stands for a null identifier in the order of first occurrence
-_GAP = re.compile(r"(?<=[.!?])[ \t\x0b-\r]+(?:\n[ \t-\r]*)?|[ \t]*\n[ \t-\r]*")
-
-
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(begin, end, begin of the next) of each sentence; separators are white space after . ! ? and line ends."""
-    out, at = [], 0
-    for m in _GAP.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start(), m.end()))
-            at = m.end()
-        elif not out:
-            at = m.end()
-    if at < len(text):
-        out.append((at, len(text), len(text)))
-    return out
-
-
-def _measured(text: str) -> tuple[list[int], list[bytes]]:
-    """Number of words and hash of each sentence."""
-    from xxhash import xxh3_128_digest as digest
-
-    words, marks = [], []
-    for a, b, _ in sentences(text):
-        w = text[a:b].split()
-        words.append(len(w))
-        marks.append(digest(" ".join(w)))
-    return words, marks
-
-
-def _onward(words: list[int], count: int, least: int, alone: int) -> Iterator[tuple[int, int]]:
-    """(first sentence, end) of the shortest span from each sentence on."""
-    j = total = 0
-    for i in range(len(words)):
-        while j < len(words) and not (total >= alone or total >= least and j - i >= count):
-            total += words[j]
-            j += 1
-        if total >= alone or total >= least and j - i >= count:
-            # without the last sentence the span was too short from i - 1, but may do from i
-            k, less = j, total
-            while k - 1 > i and (less - words[k - 1] >= alone or less - words[k - 1] >= least and k - 1 - i >= count):
-                k -= 1
-                less -= words[k]
-            yield i, k
-            total -= words[i]
-        else:
-            return
-
-
-def spans(text: str, count: int = SENTENCES, least: int = LEAST_WORDS, alone: int = ALONE_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, 128-bit hash) of the shortest span from each sentence on."""
-    from xxhash import xxh3_128_digest as digest
-
-    words, marks = _measured(text)
-    for i, k in _onward(words, count, least, alone):
-        yield i, k - i, digest(b"".join(marks[i:k]))
-
-
-def all_spans(text: str, count: int = SENTENCES, least: int = LEAST_WORDS, alone: int = ALONE_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """``spans``, and in the same form the shortest span back from each sentence where it is another one."""
-    from xxhash import xxh3_128_digest as digest
-
-    words, marks = _measured(text)
-    n = len(words)
-    on = list(_onward(words, count, least, alone))
-    back = [(n - k, n - i) for i, k in _onward(words[::-1], count, least, alone)]
-    for i, k in dict.fromkeys(on + back):
-        yield i, k - i, digest(b"".join(marks[i:k]))
-
-
-def _spans(count: int, least: int, alone: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A passage of 50 words keeps this many within whole sentences, as an edge seldom costs more than two sentences of four words.
+LEAST_WORDS = 32
+CUT = 4
+STOPS = ".!?"
+_LINE = "\x01"  # stands for a line end behind the word before it
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_MEMO = 300_000
+_PART_BYTES = 4 << 20
+# Odd multipliers for the two halves of the hash, and their inverses modulo 2^64.
+_BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+@dataclass
+class Cut:
+    """The sentences of several texts, one after the other: words before each sentence's start, and sentences before each text's."""
+
+    hashes: np.ndarray  # of each word
+    edges: np.ndarray
+    texts: np.ndarray
+
+
+class Cutter:
+    """Cuts texts into sentences; remembers the hash of words and whether a sentence ends with them."""
+
+    def __init__(self) -> None:
+        self.memo: dict[str, tuple[int, bool]] = {}
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        from xxhash import xxh3_64_intdigest as digest
+
+        memo = self.memo
+        if len(memo) > _MEMO:
+            memo.clear()
+        got = []
+        for w in words:
+            if (known := memo.get(w)) is None:
+                bare = w.rstrip(_LINE)
+                known = (digest(bare), bare != w or bare[-1:] in STOPS)
+                if len(w) <= 64:
+                    memo[w] = known
+            got.append(known)
+        return np.array([h for h, _ in got], np.uint64), np.array([e for _, e in got], bool)
+
+    def cut(self, texts: pa.Array) -> Cut:
+        marked = pc.replace_substring_regex(pc.ascii_trim_whitespace(texts), r"[\t-\r ]*\n[\t-\r ]*", _LINE + " ")
+        lists = pc.ascii_split_whitespace(marked.cast(pa.large_string()))
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten()
+        size[pc.equal(pc.binary_length(marked), 0).to_numpy(zero_copy_only=False)] = 0  # an empty text is not one empty word
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0)).dictionary_encode()
+        h, stop = self._words(words.dictionary.to_pylist())
+        at = words.indices.to_numpy(zero_copy_only=False)
+        h, end = (h[at], stop[at]) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, bool))
+        first = np.concatenate([[0], np.cumsum(size)])
+        if len(h) > 1:
+            with np.errstate(over="ignore"):
+                picked = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) % np.uint64(CUT) == 0
+            starts = first[:-1][size > 0]
+            picked[starts[starts > 0] - 1] = False  # the first word of a text has none before it
+            end[1:] |= picked & ~end[:-1]
+        end[first[1:][size > 0] - 1] = True
+        edges = np.concatenate([[0], np.flatnonzero(end) + 1])
+        return Cut(h, edges, np.searchsorted(edges, first))
+
+
+def runs(c: Cut, count: int = SENTENCES, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, end) of the shortest spans from each sentence on and, where they are others, back from each; by first, then end."""
+    n = len(c.edges) - 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.searchsorted(c.texts, np.arange(n), "right") - 1
+    i = np.arange(n)
+    on = np.maximum(np.searchsorted(c.edges, c.edges[:-1] + least), i + count)
+    fits = on <= c.texts[text + 1]
+    end = np.arange(1, n + 1)
+    back = np.minimum(np.searchsorted(c.edges, c.edges[1:] - least, "right") - 1, end - count)
+    other = back >= c.texts[text]
+    other &= np.where(other, on[np.maximum(back, 0)] != end, False)
+    first, stop = np.concatenate([i[fits], back[other]]), np.concatenate([on[fits], end[other]])
+    order = np.lexsort((stop, first))
+    return first[order], stop[order]
+
+
+def run_hashes(c: Cut, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run's words: polynomials in two odd bases, from prefix sums."""
+    a, b = c.edges[first], c.edges[stop]
+    out = []
+    with np.errstate(over="ignore"):
+        for k, (base, inverse) in enumerate(_BASES):
+            power, undo = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(c.hashes), x, np.uint64)])) for x in (base, inverse))
+            h = _mixed(c.hashes + np.uint64(k * 0x2545F4914F6CDD1D))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1])])
+            out.append(_mixed((sums[b] - sums[a]) * undo[a] + (b - a).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices of about _PART_BYTES of text."""
+    size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // _PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield b.slice(lo, hi - lo)
+
+
+def _spans(count: int, least: int):
+    def spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter()
         for b in it:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                row, first, n, hashes = [], [], [], []
-                for k, text in enumerate(part.column(2)):
-                    for i, size, h in all_spans(text.as_py(), count, least, alone):
-                        row.append(k)
-                        first.append(i)
-                        n.append(size)
-                        hashes.append(h)
-                take = pa.array(row, pa.int64())
-                two = pa.Array.from_buffers(pa.int64(), 2 * len(hashes), [None, pa.py_buffer(b"".join(hashes))]).to_numpy().reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["id", "key", "h0", "h1", "first", "n"])
-
-    return run
+            for part in _parts(b, 2):
+                c = cutter.cut(part.column(2))
+                first, stop = runs(c, count, least)
+                h0, h1 = run_hashes(c, first, stop)
+                row = np.searchsorted(c.texts, first, "right") - 1
+                with np.errstate(over="ignore"):
+                    mark = h0.view(np.uint64) ^ _mixed(h1.view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                again = np.ones(len(row), bool)
+                again[np.unique(mark, return_index=True)[1]] = False  # the first of its kind in its text
+                for at in range(0, len(row), 1 << 16):
+                    s = slice(at, at + (1 << 16))
+                    take = pa.array(row[s])
+                    rest = {"h0": h0[s], "h1": h1[s], "first": (first[s] - c.texts[row[s]]).astype(np.int32), "n": (stop[s] - first[s]).astype(np.int32), "again": again[s]}
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *map(pa.array, rest.values())], ["id", "key", *rest])
+
+    return spans
 
 
 REMOVED = "struct<text:string,n_sentences:int,n_removed:int,removed:array<struct<start:int,end:int>>>"
 
 
+def cut_out(text: str, edges: np.ndarray, gone: np.ndarray) -> tuple[str, list[dict]]:
+    """``text`` without the sentences where ``gone`` is true, and the ranges of code points removed (end exclusive)."""
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    kept, removed, at = [], [], 0
+    bounds = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    for a, b in zip(bounds[::2].tolist(), bounds[1::2].tolist(), strict=True):
+        lo, hi = starts[edges[a]], starts[edges[b]]
+        kept.append(text[at:lo])
+        removed.append({"start": lo, "end": hi})
+        at = hi
+    return "".join(kept) + text[at:], removed
+
+
 def without(text: pa.Array, firsts: pa.Array, sizes: pa.Array) -> pa.Array:
-    """``text`` without the sentences of the spans, and the code points removed (end exclusive)."""
-    out = []
-    for t, a, n in zip(text, firsts, sizes, strict=True):
-        t = t.as_py() or ""
-        cut = sentences(t)
-        gone = {k for i, size in zip(a.as_py() or (), n.as_py() or (), strict=True) for k in range(i, i + size)}
-        kept, removed, at = [], [], 0
-        for k, (lo, _, nxt) in enumerate(cut):
-            if k in gone:
-                kept.append(t[at:lo])
-                at = nxt
-                if removed and removed[-1]["end"] == lo:
-                    removed[-1]["end"] = nxt
-                else:
-                    removed.append({"start": lo, "end": nxt})
-        kept.append(t[at:])
-        out.append({"text": "".join(kept), "n_sentences": len(cut), "n_removed": len(gone), "removed": removed})
+    """``text`` without the sentences of the spans, their number and that of all sentences, and what was removed."""
+    c = Cutter().cut(text := pc.fill_null(text, ""))
+    n = np.diff(c.texts)
+    counts, removed, hit, left = np.zeros(len(text), np.int32), [[] for _ in range(len(text))], np.zeros(len(text), bool), []
+    for k in np.flatnonzero(pc.fill_null(pc.list_value_length(firsts), 0).to_numpy(zero_copy_only=False)):
+        a = firsts[k].values.to_numpy(zero_copy_only=False)
+        steps = np.zeros(n[k] + 1, np.int64)
+        np.add.at(steps, a, 1)
+        np.add.at(steps, a + sizes[k].values.to_numpy(zero_copy_only=False), -1)
+        gone = np.cumsum(steps[:-1]) > 0
+        edges = c.edges[c.texts[k] : c.texts[k + 1] + 1]
+        less, removed[k] = cut_out(text[k].as_py(), edges - edges[0], gone)
+        counts[k], hit[k] = gone.sum(), True
+        left.append(less)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    return pa.array(out, pa.struct([("text", pa.string()), ("n_sentences", pa.int32()), ("n_removed", pa.int32()), ("removed", pa.list_(span))]))
+    rest = pc.replace_with_mask(text, pa.array(hit), pa.array(left, text.type))
+    return pa.StructArray.from_arrays([rest, pa.array(n.astype(np.int32)), pa.array(counts), pa.array(removed, pa.list_(span))], ["text", "n_sentences", "n_removed", "removed"])
 
 
-def span_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), count: int = SENTENCES, least: int = LEAST_WORDS, alone: int = ALONE_WORDS) -> DataFrame:
+def span_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), count: int = SENTENCES, least: int = LEAST_WORDS) -> DataFrame:
     """One row per input row: id, ``carry``, n_sentences, n_removed, has_repeat, removed, text (what is left).
 
     Defined cases: null and empty texts have no sentences and stay empty; a null
     identifier comes last in the order of first occurrence; rows equal in id and
     text share one fate, and the spans of such a row are first if it is; a span
-    that repeats within its own document is removed there too; an empty table
-    gives no rows; other columns are ignored.
+    that repeats within its own document is removed there too; identifiers may be
+    of any type that has an order; an empty table gives no rows; other columns are
+    ignored.
 
     Plan: spans carry no text. Equal ones are counted with pre-aggregation, and
-    only repeated hashes are joined back, where a hot hash can be split; then
-    texts meet the list of their own repeated spans in one shuffle.
+    only repeated hashes are joined back, where a hot hash can be split; a repeat
+    within one text is seen where the text is cut. Then texts meet the list of
+    their own repeated spans in one shuffle.
     """
     docs = narrow(df, *dict.fromkeys((id_col, text_col, *carry)))
     extra = [c for c in dict.fromkeys(carry) if c not in (id_col, text_col)]
     text = F.coalesce(text_col, F.lit(""))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    t = docs.select(order.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    runs = t.mapInArrow(_spans(count, least, alone), "id long, key long, h0 long, h1 long, first int, n int")
-    owner = runs.groupBy("h0", "h1").agg(F.min(F.struct("id", "key", "first")).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h0").alias("__h0"), F.col("h1").alias("__h1"), "o")
+    t = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    spans = t.mapInArrow(_spans(count, least), f"id {kind}, key long, h0 long, h1 long, first int, n int, again boolean")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    owner = spans.where("not again").groupBy("h0", "h1").agg(F.min(rank).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    owner = owner.select(F.col("h0").alias("__h0"), F.col("h1").alias("__h1"), F.col("o.id").alias("__o"), F.col("o.key").alias("__k"), F.lit(True).alias("__found"))
     # written, as adaptive execution splits a hot hash only where a join reads both sides from shuffles of its own
     owner = Scratch(df.sparkSession, "spans").table(owner, "owners")
-    late = runs.join(owner, (F.col("h0") == F.col("__h0")) & (F.col("h1") == F.col("__h1"))).where(F.struct("id", "key", "first") != F.col("o"))
+    late = spans.join(owner, (F.col("h0") == F.col("__h0")) & (F.col("h1") == F.col("__h1")), "left")
+    late = late.where(F.col("again") | F.col("__found") & ~(F.col("id").eqNullSafe(F.col("__o")) & (F.col("key") == F.col("__k"))))
     late = late.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("first", "n")).alias("__runs"))
-    rows = docs.withColumns({"__order": order, "__mine": F.xxhash64(text)})
-    rows = rows.join(late, (F.col("__order") == F.col("__id")) & (F.col("__mine") == F.col("__key")), "left")
+    rows = docs.withColumn("__mine", F.xxhash64(text))
+    rows = rows.join(late, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__key")), "left")
     rows = rows.withColumn("__w", F.arrow_udf(without, REMOVED)(F.col(text_col), F.col("__runs.first"), F.col("__runs.n")))
     n = F.col("__w.n_removed")
     return rows.select(id_col, *extra, F.col("__w.n_sentences").alias("n_sentences"), n.alias("n_removed"), (n > 0).alias("has_repeat"), F.col("__w.removed").alias("removed"), F.col("__w.text").alias(text_col))
