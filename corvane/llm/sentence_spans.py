@@ -6,8 +6,9 @@ on two words only, so a passage pasted into the middle of foreign text falls int
 same sentences there as elsewhere but for its edges, and text without stops is cut too.
 
 A span is a run of at least SENTENCES sentences and LEAST_WORDS words. Taken are the
-shortest span from each sentence on and the shortest span back from each sentence,
-so a passage is covered to both of its ends. Spans are hashed and joined over the
+shortest span from each sentence on and the shortest span back from each sentence
+that ends with a stop or a line, so a passage is covered from its first sentence to
+the last one that ends so, and but for a few words beyond. Spans are hashed and joined over the
 whole corpus; of equal spans the one in the row with the smallest (identifier, text
 hash), and there the first, is the first. Sentences that a non-first span covers are
 removed.
@@ -30,7 +31,7 @@ from corvane.llm.common import Scratch, narrow
 SENTENCES = 3
 #: A passage of 50 words keeps this many within whole sentences, as an edge seldom costs more than two sentences of four words.
 LEAST_WORDS = 32
-CUT = 4
+CUT = 5
 STOPS = ".!?"
 _LINE = "\x01"  # stands for a line end behind the word before it
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,11 +50,12 @@ def _mixed(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Cut:
-    """The sentences of several texts, one after the other: words before each sentence's start, and sentences before each text's."""
+    """The sentences of several texts, one after the other."""
 
     hashes: np.ndarray  # of each word
-    edges: np.ndarray
-    texts: np.ndarray
+    edges: np.ndarray  # words before each sentence, and all
+    texts: np.ndarray  # sentences before each text, and all
+    stops: np.ndarray  # whether a sentence ends with a stop, a line or its text
 
 
 class Cutter:
@@ -89,19 +91,18 @@ class Cutter:
         at = words.indices.to_numpy(zero_copy_only=False)
         h, end = (h[at], stop[at]) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, bool))
         first = np.concatenate([[0], np.cumsum(size)])
+        end[first[1:][size > 0] - 1] = True
+        stop = end.copy()
         if len(h) > 1:
             with np.errstate(over="ignore"):
                 picked = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) % np.uint64(CUT) == 0
-            starts = first[:-1][size > 0]
-            picked[starts[starts > 0] - 1] = False  # the first word of a text has none before it
-            end[1:] |= picked & ~end[:-1]
-        end[first[1:][size > 0] - 1] = True
+            end[1:] |= picked & ~stop[:-1]
         edges = np.concatenate([[0], np.flatnonzero(end) + 1])
-        return Cut(h, edges, np.searchsorted(edges, first))
+        return Cut(h, edges, np.searchsorted(edges, first), stop[edges[1:] - 1])
 
 
 def runs(c: Cut, count: int = SENTENCES, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(first sentence, end) of the shortest spans from each sentence on and, where they are others, back from each; by first, then end."""
+    """(first sentence, end) of the shortest spans from each sentence on and, where they are others, back from each that ``stops``; by first, then end."""
     n = len(c.edges) - 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -111,7 +112,7 @@ def runs(c: Cut, count: int = SENTENCES, least: int = LEAST_WORDS) -> tuple[np.n
     fits = on <= c.texts[text + 1]
     end = np.arange(1, n + 1)
     back = np.minimum(np.searchsorted(c.edges, c.edges[1:] - least, "right") - 1, end - count)
-    other = back >= c.texts[text]
+    other = c.stops & (back >= c.texts[text])
     other &= np.where(other, on[np.maximum(back, 0)] != end, False)
     first, stop = np.concatenate([i[fits], back[other]]), np.concatenate([on[fits], end[other]])
     order = np.lexsort((stop, first))
@@ -119,7 +120,7 @@ def runs(c: Cut, count: int = SENTENCES, least: int = LEAST_WORDS) -> tuple[np.n
 
 
 def run_hashes(c: Cut, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each run's words: polynomials in two odd bases, from prefix sums."""
+    """A 64-bit and a 32-bit hash of each run's words: polynomials in two odd bases, from prefix sums."""
     a, b = c.edges[first], c.edges[stop]
     out = []
     with np.errstate(over="ignore"):
@@ -128,7 +129,7 @@ def run_hashes(c: Cut, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray,
             h = _mixed(c.hashes + np.uint64(k * 0x2545F4914F6CDD1D))
             sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1])])
             out.append(_mixed((sums[b] - sums[a]) * undo[a] + (b - a).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+    return out[0], (out[1] >> 32).astype(np.int32)
 
 
 def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def _spans(count: int, least: int):
                 h0, h1 = run_hashes(c, first, stop)
                 row = np.searchsorted(c.texts, first, "right") - 1
                 with np.errstate(over="ignore"):
-                    mark = h0.view(np.uint64) ^ _mixed(h1.view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    mark = h0.view(np.uint64) ^ _mixed(h1.view(np.uint32) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 again = np.ones(len(row), bool)
                 again[np.unique(mark, return_index=True)[1]] = False  # the first of its kind in its text
                 for at in range(0, len(row), 1 << 16):
@@ -210,23 +211,25 @@ def span_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     ignored.
 
     Plan: spans carry no text. Equal ones are counted with pre-aggregation, and
-    only repeated hashes are joined back, where a hot hash can be split; a repeat
-    within one text is seen where the text is cut. Then texts meet the list of
-    their own repeated spans in one shuffle.
+    repeated hashes are joined back, where a hot hash can be split; all later steps
+    have the repeated spans only. A repeat within one text is seen where the text is
+    cut. In the end texts meet the list of their own spans in one shuffle.
     """
     docs = narrow(df, *dict.fromkeys((id_col, text_col, *carry)))
     extra = [c for c in dict.fromkeys(carry) if c not in (id_col, text_col)]
     text = F.coalesce(text_col, F.lit(""))
     t = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = t.mapInArrow(_spans(count, least), f"id {kind}, key long, h0 long, h1 long, first int, n int, again boolean")
+    spans = t.mapInArrow(_spans(count, least), f"id {kind}, key long, h0 long, h1 int, first int, n int, again boolean")
+    # tables are written, as adaptive execution splits a hot hash only where a join reads both sides from shuffles of its own
+    store = Scratch(df.sparkSession, "spans")
+    on = (F.col("h0") == F.col("__h0")) & (F.col("h1") == F.col("__h1"))
+    often = store.table(spans.groupBy(F.col("h0").alias("__h0"), F.col("h1").alias("__h1")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("__h0", "__h1"), "often")
+    spans = store.table(spans.join(often, on).drop("__h0", "__h1"), "repeated")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    owner = spans.where("not again").groupBy("h0", "h1").agg(F.min(rank).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    owner = owner.select(F.col("h0").alias("__h0"), F.col("h1").alias("__h1"), F.col("o.id").alias("__o"), F.col("o.key").alias("__k"), F.lit(True).alias("__found"))
-    # written, as adaptive execution splits a hot hash only where a join reads both sides from shuffles of its own
-    owner = Scratch(df.sparkSession, "spans").table(owner, "owners")
-    late = spans.join(owner, (F.col("h0") == F.col("__h0")) & (F.col("h1") == F.col("__h1")), "left")
-    late = late.where(F.col("again") | F.col("__found") & ~(F.col("id").eqNullSafe(F.col("__o")) & (F.col("key") == F.col("__k"))))
+    owner = spans.groupBy(F.col("h0").alias("__h0"), F.col("h1").alias("__h1")).agg(F.min(rank).alias("o"))
+    owner = store.table(owner.select("__h0", "__h1", F.col("o.id").alias("__o"), F.col("o.key").alias("__k")), "owners")
+    late = spans.join(owner, on).where(F.col("again") | ~(F.col("id").eqNullSafe(F.col("__o")) & (F.col("key") == F.col("__k"))))
     late = late.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("first", "n")).alias("__runs"))
     rows = docs.withColumn("__mine", F.xxhash64(text))
     rows = rows.join(late, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__key")), "left")

@@ -13,35 +13,36 @@ MASK = (1 << 64) - 1
 
 
 def split(text):
-    """An independent splitter: the sentences as lists of words, word by word."""
+    """An independent splitter: the sentences as lists of words, word by word, and whether they end with a stop or a line."""
 
     def mixed(z):
         z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & MASK
         z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & MASK
         return z ^ (z >> 31)
 
-    out, now, last = [], [], None
+    out, stops, now, last = [], [], [], None
     found = list(re.finditer(r"[^ \t\n\x0b\x0c\r]+", text))
     for k, m in enumerate(found):
         now.append(m.group())
         gap = text[m.end() : found[k + 1].start()] if k + 1 < len(found) else "\n"
         h = xxhash.xxh3_64_intdigest(m.group())
-        picked = last is not None and mixed((last * 0x9E3779B97F4A7C15 + h) & MASK) % 4 == 0
+        picked = last is not None and mixed((last * 0x9E3779B97F4A7C15 + h) & MASK) % 5 == 0
         stop = m.group()[-1] in ".!?" or "\n" in gap
         if stop or picked:
             out.append(now)
+            stops.append(stop)
             now = []
         last = None if stop else h
-    return out
+    return out, stops
 
 
-def brute_spans(cut, count=S.SENTENCES, least=S.LEAST_WORDS):
-    """The shortest from each start and back from each end, every length tried."""
+def brute_spans(cut, stops, count=S.SENTENCES, least=S.LEAST_WORDS):
+    """The shortest from each start and back from each stop, every length tried."""
     out = set()
     good = lambda i, j: j - i >= count and sum(map(len, cut[i:j])) >= least
     for i in range(len(cut)):
         out |= {(i, j) for j in [next((j for j in range(i + 1, len(cut) + 1) if good(i, j)), None)] if j}
-    for j in range(1, len(cut) + 1):
+    for j in (k + 1 for k, stop in enumerate(stops) if stop):
         out |= {(i, j) for i in [next((i for i in range(j - 1, -1, -1) if good(i, j)), None)] if i is not None}
     return out
 
@@ -51,8 +52,8 @@ def brute(rows):
     cuts = [split(r[1] or "") for r in rows]
     seen, gone = {}, defaultdict(set)
     for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
-        for i, j in sorted(brute_spans(cuts[k])):
-            words = tuple(w for s in cuts[k][i:j] for w in s)
+        for i, j in sorted(brute_spans(*cuts[k])):
+            words = tuple(w for s in cuts[k][0][i:j] for w in s)
             if seen.setdefault(words, (rows[k][0], rows[k][1], i)) != (rows[k][0], rows[k][1], i):
                 gone[k] |= set(range(i, j))
     return gone
@@ -70,14 +71,14 @@ words = st.lists(st.tuples(st.sampled_from([*"abcde", "a.", "b,", "c!", "é", "x
 def test_cut_and_spans(docs, lead):
     texts = [lead + "".join(w + g for w, g in d) for d in docs]
     c = cut_of(*texts)
-    sizes = [[len(s) for s in split(t)] for t in texts]
+    sizes = [[len(s) for s in split(t)[0]] for t in texts]
     assert [int(x) for x in (c.edges[1:] - c.edges[:-1])] == [n for s in sizes for n in s]
     assert [int(x) for x in c.texts[1:] - c.texts[:-1]] == [len(s) for s in sizes]
     first, stop = S.runs(c, 2, 5)
     at, want, words_of = 0, [], []
     for t in texts:
-        cut = split(t)
-        for i, j in sorted(brute_spans(cut, 2, 5)):
+        cut, stops = split(t)
+        for i, j in sorted(brute_spans(cut, stops, 2, 5)):
             want.append((at + i, at + j))
             words_of.append(tuple(w for s in cut[i:j] for w in s))
         at += len(cut)
@@ -148,7 +149,7 @@ def test_passages_pasted_inside_sentences(make):
 def test_spans_within_a_passage_cover_it(sizes, before, after):
     passage = [[f"p{k}_{i}" for i in range(n)] for k, n in enumerate(sizes)]
     text = ". ".join(" ".join(w) for w in [["x"] * (before + 1), *passage, ["y"] * (after + 1)]) + "."
-    cut = split(text)
+    cut = split(text)[0]
     own = [k for k, s in enumerate(cut) if s[0][0] == "p"]
     first, stop = S.runs(cut_of(text))
     inside = {k for i, j in zip(first.tolist(), stop.tolist(), strict=True) if own and i >= own[0] and j <= own[-1] + 1 for k in range(i, j)}
