@@ -1,11 +1,17 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled rows becomes a block-max inverted index: postings
-hold TF-IDF weights, and for each term and block of examples the largest weight.
-The sum of those maxima bounds every cosine in a block, so blocks are read from
-the highest bound down and reading stops below the k-th best cosine: the nearest
-examples are exact. Their votes, weighted by distance, are calibrated by isotonic
-regression on labelled rows outside the index, and the neighbours are the evidence.
+A bounded sample of labelled rows becomes a block-max inverted index over all words
+that the examples hold: postings have TF-IDF weights, and for each term and block of
+examples the largest weight. The sum of those maxima bounds every cosine in a block,
+so blocks are read from the highest bound down and reading stops below the k-th best
+cosine: the nearest examples are exact. Their votes, weighted by distance, are
+calibrated by isotonic regression on labelled rows outside the index, and the
+neighbours are the evidence.
+
+Plain TF-IDF finds texts that share rare words of no meaning, so a word's weight is
+tf * idf * rf (Lan et al. 2009): idf from all documents, and a relevance factor from
+the shares of the two classes' examples that hold the word. No word is dropped but
+those that stand in one document only.
 """
 
 from __future__ import annotations
@@ -14,57 +20,67 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, narrow
 
-#: Bounds of the sample that is fitted: examples of each class in the index, rows for calibration, terms.
-EXAMPLES = 3_000
+#: Bounds of the sample that is fitted: examples of each class in the index, rows for calibration.
+EXAMPLES = 1_500
 CALIBRATION = 6_000
-TERMS = 4_096
 NEIGHBOURS = 15
-#: A term must raise or lower the odds of label 1 by this factor; function words of any language don't.
-ODDS = 8.0
-#: A term must stand in this share of the examples, so that the words of one group of copies don't become terms.
-SHARE = 0.004
+#: Examples that a class's share of a word is drawn to the common share by.
+PRIOR = 5.0
+LEAST_DF = 2
 BLOCK = 64
+#: Terms in more than one of this many examples keep their postings as rows over all examples.
+DENSE = 16
 REJECT = 0.7
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 300_000
+_PART_BYTES = 4 << 20
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0], .., hi[0] - 1, lo[1], .., hi[1] - 1, ..."""
+    size = hi - lo
+    return np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
 class Terms:
     """Counts the terms of a vocabulary in whole texts; remembers what tokens hold."""
 
-    def __init__(self, vocabulary: dict[str, int] | None):
+    def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.memo = vocabulary, {}
 
-    def words(self, text: str | None) -> Counter:
-        out: Counter[str] = Counter()
-        for token, n in Counter((text or "").lower().split()).items():
-            for w in _WORD.findall(token):
-                out[w] += n
-        return out
-
-    def count(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        found: dict[int, int] = {}
-        memo, known = self.memo, self.vocabulary
-        for token, n in Counter((text or "").lower().split()).items():
-            ids = memo.get(token)
-            if ids is None:
-                ids = tuple(known[w] for w in _WORD.findall(token) if w in known)
-                if len(token) <= 64:
-                    if len(memo) >= _MEMO:
-                        memo.clear()
-                    memo[token] = ids
-            for i in ids:
-                found[i] = found.get(i, 0) + n
-        return tuple(sorted(found.items()))
+    def _known(self, token: str) -> tuple[int, ...]:
+        if (ids := self.memo.get(token)) is None:
+            ids = tuple(self.vocabulary[w] for w in _WORD.findall(token) if w in self.vocabulary)
+            if len(token) <= 64:
+                if len(self.memo) >= _MEMO:
+                    self.memo.clear()
+                self.memo[token] = ids
+        return ids
+
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(edges, terms, frequencies): those of text i are at edges[i]..edges[i + 1], by term."""
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        ids = [self._known(x) for x in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        term = flat[ranges((ends - size)[at], ends[at])] if len(at) else np.zeros(0, np.int64)
+        text = np.repeat(np.repeat(np.arange(len(n)), n), size[at]) if len(at) else np.zeros(0, np.int64)
+        v = max(len(self.vocabulary), 1)
+        cell, tf = np.unique(text * v + term, return_counts=True)
+        return np.searchsorted(cell, np.arange(len(n) + 1) * v), cell % v, tf
 
 
 @dataclass
@@ -72,66 +88,89 @@ class Index:
     """Block-max inverted index over example vectors; ``ids`` and ``labels`` are in the order of the examples."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # a term's weight: idf, with the relevance factor
     ids: list
     labels: np.ndarray
     docs: np.ndarray = field(default=None)  # postings by term, then example
     weights: np.ndarray = field(default=None)
-    edges: np.ndarray = field(default=None)  # [term, block] → where the block's postings begin
-    most: np.ndarray = field(default=None)  # [term, block] → largest weight
+    cells: np.ndarray = field(default=None)  # term → where its cells begin; a cell is a term in a block
+    block: np.ndarray = field(default=None)  # of each cell
+    most: np.ndarray = field(default=None)  # the cell's largest weight
+    edges: np.ndarray = field(default=None)  # where the cell's postings begin
+    row: np.ndarray = field(default=None)  # term → its row of ``dense``, or -1
+    dense: np.ndarray = field(default=None)
     raws: np.ndarray = field(default=None)  # calibration: votes → probability
     probs: np.ndarray = field(default=None)
     base: float = 0.0
     seen: dict = field(default_factory=dict)
 
     def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([i for i, _ in counts], np.int64)
-        w = (1 + np.log(np.array([n for _, n in counts], float))) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / max(np.sqrt((w * w).sum()), 1e-300)
+        """(terms, weights) of length 1 from (term, frequency) pairs in order of terms."""
+        t, n = np.array([i for i, _ in counts], np.int64), np.array([n for _, n in counts], np.int64)
+        return t, self.weighted(t, n)
+
+    def weighted(self, t: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(tf)) * self.idf[t]
+        return w / max(np.sqrt((w * w).sum()), 1e-300)
 
     def build(self, counts: list[tuple]) -> Index:
         n, v = len(counts), len(self.idf)
-        blocks = max(1, -(-n // BLOCK))
         rows = [self.vector(c) for c in counts]
         t = np.concatenate([r[0] for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
         w = np.concatenate([r[1] for r in rows] or [np.zeros(0)])
         d = np.repeat(np.arange(n), [len(r[0]) for r in rows]).astype(np.int64)
         order = np.lexsort((d, t))
         t, self.docs, self.weights = t[order], d[order], w[order]
-        cell = t * blocks + self.docs // BLOCK
-        self.edges = np.searchsorted(cell, np.arange(v * blocks + 1))
-        self.most = np.zeros(v * blocks)
-        np.maximum.at(self.most, cell, self.weights)
-        self.most = self.most.reshape(v, blocks)
+        blocks = max(1, -(-n // BLOCK))
+        cell, first = np.unique(t * blocks + self.docs // BLOCK, return_index=True)
+        self.cells, self.block = np.searchsorted(cell, np.arange(v + 1) * blocks), cell % blocks
+        self.edges = np.append(first, len(t))
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        often = np.flatnonzero(np.bincount(t, minlength=v) * DENSE > n) if n else np.zeros(0, np.int64)
+        self.row = np.full(v, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        held = self.row[t] >= 0
+        self.dense[self.row[t[held]], self.docs[held]] = self.weights[held]
         return self
 
     def nearest(self, counts: tuple, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
         """The ``k`` examples of highest cosine above 0, best first, ties by number; exact."""
-        if not counts or not len(self.docs):
+        return self.search(*self.vector(counts), k)
+
+    def search(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
+        n = len(self.ids)
+        if not len(t) or not len(self.docs):
             return []
-        t, w = self.vector(counts)
-        blocks = self.most.shape[1]
-        bound = w @ self.most[t]
+        size = self.cells[t + 1] - self.cells[t]
+        cell, q = ranges(self.cells[t], self.cells[t + 1]), np.repeat(w, size)
+        block = self.block[cell]
+        bound = np.bincount(block, q * self.most[cell], -(-n // BLOCK))
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        dense = np.flatnonzero(self.row[t] >= 0)
+        rows, few = self.row[t[dense]], np.repeat(self.row[t] < 0, size)
+        cell, q, block = cell[few], q[few], block[few]
+        wave = np.full(len(bound), -1)
         sims, docs_ = np.zeros(0), np.zeros(0, np.int64)  # the best so far, best first
-        at, wave = 0, 4
-        while at < blocks and bound[order[at]] > 0 and (len(sims) < k or bound[order[at]] >= sims[-1] - 1e-12):
-            take = order[at : at + wave]
-            take = take[bound[take] > 0]
-            lo = self.edges[(t[:, None] * blocks + take[None, :]).ravel()]
-            hi = self.edges[(t[:, None] * blocks + take[None, :]).ravel() + 1]
-            size = hi - lo
-            if size.sum():
-                where = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                docs, weights = self.docs[where], self.weights[where] * np.repeat(np.repeat(w, len(take)), size)
-                total = np.bincount(docs, weights)
-                found = np.flatnonzero(total)
-                if len(sims) == k:
-                    found = found[total[found] >= sims[-1] - 1e-12]
-                sims, docs_ = np.concatenate([sims, total[found]]), np.concatenate([docs_, found])
-                top = np.lexsort((docs_, -np.round(sims, 12)))[:k]
-                sims, docs_ = sims[top], docs_[top]
-            at, wave = at + wave, wave * 2
+        at, step = 0, 4
+        while at < len(order) and (len(sims) < k or bound[order[at]] >= sims[-1] - 1e-12):
+            if at:
+                step = int(np.searchsorted(-bound[order[at:]], 1e-12 - sims[-1], "right")) if len(sims) == k else 2 * step
+            take = order[at : at + step]
+            wave[take] = at
+            these = np.flatnonzero(wave[block] == at)
+            lo, hi = self.edges[cell[these]], self.edges[cell[these] + 1]
+            where = ranges(lo, hi)
+            total = np.bincount(self.docs[where], self.weights[where] * np.repeat(q[these], hi - lo), n).astype(float)
+            if len(dense):
+                for a, b in _joined(np.sort(take)):
+                    total[a * BLOCK : b * BLOCK] += w[dense] @ self.dense[rows, a * BLOCK : b * BLOCK]
+            found = np.flatnonzero(total > (max(sims[-1] - 1e-12, 0) if len(sims) == k else 0))
+            sims, docs_ = np.concatenate([sims, total[found]]), np.concatenate([docs_, found])
+            top = np.lexsort((docs_, -np.round(sims, 12)))[:k]
+            sims, docs_ = sims[top], docs_[top]
+            at += step
         return list(zip(docs_.tolist(), sims.tolist(), strict=True))
 
     def votes(self, near: list[tuple[int, float]]) -> float:
@@ -157,38 +196,112 @@ class Index:
         self.raws = np.array([p[2] / p[1] for p in pools] or [0.0])
         self.probs = np.maximum.accumulate(np.array([(p[0] + self.base) / (p[1] + 1) for p in pools] or [self.base]))
 
-    def score(self, counts: tuple) -> tuple[float, list[tuple[int, float]]]:
-        if (known := self.seen.get(counts)) is None:
-            near = self.nearest(counts)
-            known = (float(np.interp(self.votes(near), self.raws, self.probs)), near[:3])
-            if len(self.seen) >= 50_000:
-                self.seen.clear()
-            self.seen[counts] = known
+    def raw(self, t: np.ndarray, tf: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        """The votes for a text's terms and its nearest examples; copies are remembered."""
+        key = (t.tobytes(), tf.tobytes()) if len(t) <= 4096 else None
+        if (known := self.seen.get(key)) is None:
+            near = self.search(t, self.weighted(t, tf))
+            known = (self.votes(near), near[:3])
+            if key:
+                if len(self.seen) >= 5_000:
+                    self.seen.clear()
+                self.seen[key] = known
         return known
 
+    def score(self, raw: float) -> float:
+        return float(np.interp(raw, self.raws, self.probs))
+
+
+def _joined(blocks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of ascending numbers as (first, end)."""
+    cuts = np.flatnonzero(np.diff(blocks) > 1) + 1
+    for run in np.split(blocks, cuts):
+        yield int(run[0]), int(run[-1]) + 1
+
+
+def in_groups(counts: list[tuple], weight: np.ndarray, groups: int = 16, features: int = 512) -> np.ndarray:
+    """A group number for each example, by a few rounds of k-means over its most frequent terms, so that like ones share blocks.
+
+    That makes the blocks' bounds tighter; it has no part in the results.
+    """
+    n = len(counts)
+    often = Counter(i for c in counts for i, _ in c).most_common(features)
+    column = {i: k for k, (i, _) in enumerate(sorted(often, key=lambda x: (-x[1], x[0])))}
+    m = np.zeros((n, max(len(column), 1)))
+    for r, c in enumerate(counts):
+        for i, tf in c:
+            if i in column:
+                m[r, column[i]] = (1 + np.log(tf)) * weight[i]
+    m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+    mean = m[:: max(1, n // groups)][:groups]
+    group = np.zeros(n, np.int64)
+    for _ in range(5):
+        group = np.argmax(m @ mean.T, axis=1) if n else group
+        mean = np.stack([m[group == g].mean(0) if (group == g).any() else mean[g] for g in range(len(mean))]) if n else mean
+    return group
+
+
+def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices of about _PART_BYTES of text."""
+    size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // _PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield b.slice(lo, hi - lo)
+
 
 def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    terms = Terms(None)
+    """The distinct words of texts."""
+    found: set[str] = set()
     for b in it:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            counts = [terms.words(x) for x in part.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["id", "role", "label", "words", "tf"])
+        for part in _parts(b, 0):
+            lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(part.column(0).cast(pa.large_string()), "")))
+            for token in lists.flatten().unique().to_pylist():
+                found.update(_WORD.findall(token))
+    out = list(found)
+    for at in range(0, len(out), 1 << 16):
+        yield pa.RecordBatch.from_pydict({"w": out[at : at + (1 << 16)]})
+
+
+def _frequencies(shared):
+    def frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(shared.value)
+        df, n = np.zeros(len(shared.value) + 1, np.int64), 0  # the last counts the texts
+        for b in it:
+            for part in _parts(b, 0):
+                _, t, _ = terms.count(part.column(0))
+                df[:-1] += np.bincount(t, minlength=len(df) - 1)
+                n += part.num_rows
+        df[-1] = n
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": held, "df": df[held]})
+
+    return frequencies
 
 
-def _vectors(vocabulary: dict[str, int]):
+def _vectors(shared):
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(shared.value)
         for b in it:
-            ids, tf = [], []
-            for words, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                got = sorted((vocabulary[w], k) for w, k in zip(words, n, strict=True) if w in vocabulary)
-                ids.append([i for i, _ in got])
-                tf.append([k for _, k in got])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.list_(pa.int64())), pa.array(tf, pa.list_(pa.int64()))], ["id", "role", "label", "ids", "tf"])
+            for part in _parts(b, 3):
+                edges, t, tf = terms.count(part.column(3))
+                lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x, pa.int64())) for x in (t, tf)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["id", "role", "label", "ids", "tf"])
 
     return vectors
 
 
+def _raws(shared):
+    def raws(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in it:
+            lists = [(np.array(x, np.int64), np.array(y, np.int64)) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"label": b.column(0), "raw": pa.array([index.raw(*x)[0] for x in lists], pa.float64())})
+
+    return raws
+
+
 def held_out(id_: Column) -> Column:
     """True for identifiers that no label may be learnt from."""
     return F.crc32(F.encode(F.coalesce(id_.cast("string"), F.lit("")), "UTF-8")) % 3 == 1
@@ -199,11 +312,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sample is drawn by a hash of the identifier, so it is the same on each
     run. Rows without a label or identifier are not drawn; of an identifier's
-    labels the largest counts. Terms are words whose chi-square against the label
-    exceeds what one word of the sample's would reach by chance, that change the
-    odds of label 1 by a factor of at least ODDS and that are in SHARE of the rows.
+    labels the largest counts. Terms are all words of the examples that stand in
+    LEAST_DF documents or more; document frequencies are counted over all documents.
     """
-    store = Scratch(docs.sparkSession, "toxicity")
+    spark = docs.sparkSession
+    store = Scratch(spark, "toxicity")
     docs, labels = narrow(docs, id_col, text_col), narrow(labels, id_col, label_col)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
@@ -213,32 +326,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = top("role = 0 and label = 1", examples).unionByName(top("role = 0 and label = 0", examples)).unionByName(top("role = 1", calibration))
     drawn = store.table(drawn.select("id", "role", "label"), "drawn")
     texts = docs.join(F.broadcast(drawn), docs[id_col] == drawn["id"]).select("id", "role", "label", F.col(text_col).alias("text"))
+    texts = store.table(texts, "texts")
     kind = drawn.schema["id"].dataType.simpleString()
-    words = store.table(texts.mapInArrow(_words, f"id {kind}, role int, label int, words array<string>, tf array<long>"), "words")
-    size = {r["label"]: r["n"] for r in words.where("role = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    n = max(n1 + n0, 1)
-    df = words.where("role = 0").select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("df"))
-    df = store.table(df.where(F.col("df") >= max(2, SHARE * n)), "df")
-    m = max(df.count(), 3)
-    least = max(10.83, 2 * log(m) - log(pi * log(m)))
-    b, a = F.col("df") - F.col("a"), F.col("a")
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / (F.col("df") * (n - F.col("df")) * max(n1, 1) * max(n0, 1))
-    odds = (a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))
-    telling = (F.col("chi") >= least) & ((odds >= ODDS) | (odds <= 1 / ODDS))
-    vocab = df.withColumn("chi", F.when(F.col("df") < n, chi).otherwise(0.0)).where(telling).orderBy(F.desc("chi"), "w").limit(TERMS).select("w", "df").collect()
-    vocabulary = {r["w"]: i for i, r in enumerate(vocab)}
-    rows = words.mapInArrow(_vectors(vocabulary), f"id {kind}, role int, label int, ids array<long>, tf array<long>").collect()
-    rows = [(r["id"], r["role"], r["label"], tuple(zip(r["ids"], r["tf"], strict=True))) for r in rows]
-    kept = sorted((r for r in rows if r[1] == 0 and r[3]), key=lambda r: (r[2], r[3][0], str(r[0])))  # like examples share blocks
-    check = [r for r in rows if r[1] == 1]
-    index = Index(vocabulary, np.array([log((1 + n) / (1 + r["df"])) + 1 for r in vocab]), [r[0] for r in kept], np.array([r[2] for r in kept]))
-    index.base = float(np.mean([r[2] for r in check])) if check else (n1 / n if n1 + n0 else 0.0)
-    index.build([r[3] for r in kept])
-    index.calibrate(np.array([index.votes(index.nearest(r[3])) for r in check]), np.array([r[2] for r in check]))
+    words = sorted(r["w"] for r in texts.where("role = 0").select("text").mapInArrow(_words, "w string").distinct().collect())
+    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    df = np.zeros(len(words) + 1, np.int64)
+    for r in counted:
+        df[r["term"]] = r["df"]
+    shared.unpersist()
+    n, vocabulary = int(df[-1]), {}
+    for i in np.flatnonzero(df[:-1] >= LEAST_DF).tolist():
+        vocabulary[words[i]] = len(vocabulary)
+    idf = np.log((1 + n) / (1 + df[:-1][df[:-1] >= LEAST_DF])) + 1
+    shared = spark.sparkContext.broadcast(vocabulary)
+    vectors = store.table(texts.mapInArrow(_vectors(shared), f"id {kind}, role int, label int, ids array<long>, tf array<long>"), "vectors")
+    rows = [(r["id"], r["label"], tuple(zip(r["ids"], r["tf"], strict=True))) for r in vectors.where("role = 0").collect()]
+    held = np.zeros((2, len(vocabulary)))
+    for _, label, counts in rows:
+        held[label, [i for i, _ in counts]] += 1
+    idf = idf * relevance(held[1], held[0], sum(r[1] for r in rows), sum(1 - r[1] for r in rows))
+    rows.sort(key=lambda r: (r[1], str(r[0]), r[2]))
+    group = in_groups([r[2] for r in rows], idf)
+    rows = [rows[k] for k in np.lexsort((group, [r[1] for r in rows]))]  # like examples share blocks
+    index = Index(vocabulary, idf, [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)).build([r[2] for r in rows])
+    size = {r["label"]: r["n"] for r in vectors.where("role = 1").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    index.base = size.get(1, 0) / sum(size.values()) if size else float(index.labels.mean()) if rows else 0.0
+    shared = spark.sparkContext.broadcast(index)
+    check = vectors.where("role = 1").select("label", "ids", "tf").repartition(spark.sparkContext.defaultParallelism)
+    check = check.mapInArrow(_raws(shared), "label int, raw double").collect()
+    index.calibrate(np.array([r["raw"] for r in check]), np.array([r["label"] for r in check]))
     return index
 
 
+def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Squared log2(2 + r), r being the share of label 1's examples with the term over that of label 0's, both drawn to the common share."""
+    if not n1 or not n0:
+        return np.ones(len(a))
+    n = n1 + n0
+    return np.log2(2 + (a + PRIOR * n1 / n) / n1 / ((b + PRIOR * n0 / n) / n0)) ** 2
+
+
 def scorer(spark, index: Index):
     """A function of a text column: struct(score, evidence: array of (id, label, similarity))."""
     shared = spark.sparkContext.broadcast(index)
@@ -251,9 +379,11 @@ def scorer(spark, index: Index):
         if not state:
             state.append(Terms(index.vocabulary))
         out = []
-        for x in text:
-            p, near = index.score(state[0].count(x.as_py()))
-            out.append({"score": p, "evidence": [{"id": str(index.ids[d]), "label": int(index.labels[d]), "similarity": s} for d, s in near]})
+        for part in _parts(pa.RecordBatch.from_arrays([text], ["text"]), 0):
+            edges, t, tf = state[0].count(part.column(0))
+            for a, b in zip(edges.tolist(), edges.tolist()[1:], strict=False):
+                raw, near = index.raw(t[a:b], tf[a:b])
+                out.append({"score": index.score(raw), "evidence": [{"id": str(index.ids[d]), "label": int(index.labels[d]), "similarity": s} for d, s in near]})
         t = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("similarity", pa.float64())])))])
         return pa.array(out, t)
 
@@ -265,7 +395,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     score is the calibrated probability of label 1 from the text alone; predicted
     is 1 at REJECT or more. Defined cases: null and empty texts, and texts without
-    a term of the vocabulary, have no neighbours and score what calibration gives
+    a word of the examples, have no neighbours and score what calibration gives
     for the base rate; without labels every score is 0; ids may be null (never
     held out) or repeat; an empty table gives no rows; other columns are ignored.
     """
