@@ -35,6 +35,8 @@ CALIBRATION = 6_000
 NEIGHBOURS = 15
 #: Examples that a class's share of a word is drawn to the common share by.
 PRIOR = 5.0
+#: Weight of the vote for the base rate, beside the neighbours' own.
+BASE_VOTE = 0.25
 LEAST_DF = 2
 BLOCK = 64
 #: Terms in more than one of this many examples keep their postings as rows over all examples.
@@ -174,10 +176,10 @@ class Index:
         return list(zip(docs_.tolist(), sims.tolist(), strict=True))
 
     def votes(self, near: list[tuple[int, float]]) -> float:
-        """Share of votes for label 1, each of weight cosine^2 / (0.05 + distance), with one vote for the base rate."""
+        """Share of votes for label 1, each of weight cosine^2 / (0.05 + distance), and BASE_VOTE for the base rate."""
         w = np.array([s * s / (0.05 + max(0.0, 1 - s)) for _, s in near])
         y = np.array([self.labels[d] for d, _ in near], float)
-        return float(((w * y).sum() + self.base) / (w.sum() + 1))
+        return float(((w * y).sum() + BASE_VOTE * self.base) / (w.sum() + BASE_VOTE))
 
     def calibrate(self, raws: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic regression by pooling neighbours that fall; each pool is drawn to the base rate by one row."""
