@@ -20,16 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, narrow
+from corvane.llm.common import Scratch, narrow, small
 from corvane.llm.components import components
 
 RADIUS = 4
 SHINGLE = 4
-#: For near copies: words in a shingle, radius of the word fingerprints, and differing bits of 256 that stand for a
-#: Jaccard similarity of 0.8 (there the expected number is 39, its deviation 6).
+#: For near copies: words in a shingle, radius of the word fingerprints, differing bits of 256 up to which a pair is a
+#: candidate (at a Jaccard similarity of 0.8 the expected number is 39, its deviation 6), and the similarity asked for.
 WORDS = 5
-NEAR_RADIUS = 8
-NEAR_BITS = 43
+NEAR_RADIUS = 10
+NEAR_BITS = 60
+ALIKE = 0.8
+#: Shingle sets compared as one block in the exact check.
+SET_BLOCK = 1024
 #: Fingerprints compared as one block; a larger bucket is split into pairs of blocks.
 BLOCK = 4096
 #: Estimated seconds for a probed key and for a verified candidate pair.
@@ -83,35 +86,87 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def prints(text: bytes | None, shingle: int = WORDS) -> list[int]:
-    """The 64-bit fingerprint of a text's distinct words, and 256 bits over its word shingles, as five signed words.
-
-    A changed word alters one of the former's terms but ``shingle`` of the
-    latter's: the one finds candidates at a small radius, the other tells how
-    alike they are. Letters are lowered in ASCII; without words all is zero.
-    """
+def shingle_hashes(words: list[bytes], shingle: int = WORDS) -> np.ndarray:
+    """The distinct hashes of the word shingles, ascending; of fewer words that of the whole sequence, of none none."""
     from xxhash import xxh64_intdigest as xxh
 
-    words = (text or b"").lower().split()
     if not words:
-        return [0] * 5
-    distinct = np.array([xxh(w, 42) for w in set(words)], np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(len(words) - shingle + 1, 1)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[:n].tolist()
     ends = ends[-n:].tolist()
-    hashes = np.array([xxh(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return np.unique(np.array([xxh(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def prints(text: bytes | None, shingle: int = WORDS) -> list[int]:
+    """The 64-bit fingerprint of a text's distinct words, 256 bits over its distinct word shingles, and a checksum of these, as six signed words.
+
+    A changed word alters one of the first's terms but ``shingle`` of the
+    others': the one finds candidates at a small radius, the second leaves out
+    those that are far apart. Letters are lowered in ASCII; without words all is zero.
+    """
+    from xxhash import xxh64_intdigest as xxh
+
+    words = (text or b"").lower().split()
+    if not words:
+        return [0] * 6
+    distinct = np.array([xxh(w, 42) for w in set(words)], np.uint64)
+    hashes = shingle_hashes(words, shingle)
     with np.errstate(over="ignore"):
         wide = _majority(_mixed(hashes))
-    return [int(x) for x in np.concatenate([_majority(distinct[:, None]), wide]).view(np.int64)]
+    check = xxh(hashes.tobytes(), 7)
+    return [int(x) for x in np.concatenate([_majority(distinct[:, None]), wide, np.array([check], np.uint64)]).view(np.int64)]
 
 
 def near_prints(text: pa.Array, shingle: int = WORDS) -> pa.Array:
     rows = [prints(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in text.cast(pa.large_binary())]
-    cols = np.array(rows, np.int64).reshape(-1, 5).T
-    return pa.StructArray.from_arrays([pa.array(c) for c in cols], [f"p{i}" for i in range(5)])
+    cols = np.array(rows, np.int64).reshape(-1, 6).T
+    return pa.StructArray.from_arrays([pa.array(c) for c in cols], [f"p{i}" for i in range(6)])
+
+
+def exact_links(sets: list[np.ndarray], alike: float = ALIKE) -> list[tuple[int, int]]:
+    """Index pairs that link whatever is linked: sets (ascending, distinct) of a Jaccard similarity of ``alike`` or more.
+
+    Each set taken up is looked up in an inverted index of those not yet linked,
+    which is built anew whenever half of them are.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    free = np.ones(n, bool)
+    out, left = [], n
+
+    def index() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who = np.flatnonzero(free)
+        flat, owner = np.concatenate([sets[i] for i in who]), np.repeat(who, size[who])
+        order = np.argsort(flat, kind="stable")
+        keys, first = np.unique(flat[order], return_index=True)
+        return keys, np.append(first, len(order)), owner[order]
+
+    keys = None
+    for start in range(n):
+        if not free[start]:
+            continue
+        free[start], left = False, left - 1
+        todo = [start]
+        while todo and left:
+            if keys is None or 2 * left < built:
+                (keys, edges, owner), built = index(), left
+            q = todo.pop()
+            at = np.searchsorted(keys, sets[q])
+            at = at[at < len(keys)] if len(keys) else at[:0]
+            hit = at[keys[at] == sets[q][: len(at)]]
+            lo, hi = edges[hit], edges[hit + 1]
+            count = hi - lo
+            common = np.bincount(owner[np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())], minlength=n)
+            found = np.flatnonzero(free & (common > 0) & (common >= alike * (size[q] + size - common) - 1e-9)).tolist()
+            out += [(q, x) for x in found]
+            free[found] = False
+            left -= len(found)
+            todo += found
+    return out
 
 
 def _bit_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,13 +369,18 @@ def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, bits: int = 0
     return keys.mapInArrow(_links(radius, bits), "a long, b long")
 
 
-def near_components(rows: DataFrame, id_col: str, fp: str, wide: tuple[str, ...] = (), radius: int = RADIUS, bits: int = 0) -> DataFrame:
-    """(node, component_id, members) for the distinct fingerprints of ``rows``, which has a column node for them."""
+def near_components(rows: DataFrame, id_col: str, fp: str, wide: tuple[str, ...] = (), radius: int = RADIUS, bits: int = 0, check=None) -> DataFrame:
+    """(node, component_id, members) for the distinct fingerprints of ``rows``, which has a column node for them.
+
+    ``check`` makes from the groups (u, root) of the links found the links that count.
+    """
     store = Scratch(rows.sparkSession, "simhash")
     agg = [F.first(c).alias(c) for c in (fp, *wide) if c != "node"]  # the same in all rows of a node
     fps = store.table(rows.groupBy("node").agg(F.min(id_col).alias("best"), F.count(F.lit(1)).alias("n"), *agg), "fps")
     edges = link(fps.select(F.col(fp).alias("fp"), "node", *wide), radius, bits=bits)
     roots = store.table(components(edges), "roots")
+    if check is not None:
+        roots = store.table(components(check(roots)), "checked")
     t = fps.join(roots, F.col("node") == F.col("u"), "left").select("node", "best", "n", F.coalesce("root", "node").alias("root"))
     linked = roots.select("root").distinct()
     t = store.table(t, "fps_roots")
@@ -328,6 +388,69 @@ def near_components(rows: DataFrame, id_col: str, fp: str, wide: tuple[str, ...]
     return t.join(groups, F.col("root") == F.col("__root"), "left").select(F.col("node").alias("__node"), F.coalesce("least", "best").alias("component_id"), F.coalesce("all", "n").alias("members"))
 
 
+def _sets(shingle: int):
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                found = [shingle_hashes((x.as_buffer().to_pybytes() if x.is_valid else b"").lower().split(), shingle).view(np.int64) for x in part.column(1).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
+
+    return sets
+
+
+def _exact(alike: float):
+    def exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+
+        def done(held: list[tuple[int, np.ndarray]]) -> None:
+            node, sets = zip(*{x[0]: x for x in held}.values(), strict=True)
+            for a, b in exact_links(list(sets), alike):
+                forest.link(node[a], node[b])
+
+        last, held = None, []
+        for b in it:
+            keys = list(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True))
+            for k, node, s in zip(keys, b.column(3).to_pylist(), b.column(4), strict=True):
+                if k != last:
+                    if len(held) > 1:
+                        done(held)
+                    last, held = k, []
+                held.append((node, s.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+        if len(held) > 1:
+            done(held)
+        pairs = [(a, r) for a in list(forest.up) if (r := forest.root(a)) != a]
+        for at in range(0, len(pairs), 1 << 16):
+            a, b = zip(*pairs[at : at + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return exact
+
+
+def exact_check(rows: DataFrame, roots: DataFrame, alike: float = ALIKE, shingle: int = WORDS, block: int = SET_BLOCK) -> DataFrame:
+    """Links (a, b) between nodes of one group of ``roots`` (u, root) that connect whatever has shingle sets ``alike`` or more.
+
+    ``rows`` has node and __t, a text of the node. Only members of groups are
+    shingled. A group of over ``block`` nodes is cut into blocks, and each pair of
+    blocks becomes a group of its own, as in ``link``.
+    """
+    store = Scratch(rows.sparkSession, "exact")
+    members = roots.select("root", F.col("u").alias("__u")).unionByName(roots.select("root", F.col("root").alias("__u")).distinct())
+    members = store.table(members, "members")
+    size = members.groupBy(F.col("root").alias("__r")).agg(F.count(F.lit(1)).alias("n"))
+    size = store.table(size.where(F.col("n") > block).select("__r", F.ceil(F.col("n") / block * 2).alias("__c")), "large")
+    texts = rows.join(small(members.select("__u")), F.col("node") == F.col("__u"), "left_semi")
+    sets = store.table(texts.select("node", "__t").mapInArrow(_sets(shingle), "node long, set array<long>"), "sets")
+    t = members.join(size, F.col("root") == F.col("__r"), "left")
+    mine = F.pmod(F.xxhash64("__u"), F.col("__c"))
+    pair = lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"))
+    zero = F.lit(0).cast("long")
+    pairs = F.when(F.col("__c").isNull(), F.array(F.struct(zero.alias("i"), zero.alias("j")))).otherwise(F.transform(F.sequence(zero, F.col("__c") - 1), pair))
+    t = t.select("root", "__u", F.inline(pairs)).join(sets, F.col("__u") == F.col("node")).select("root", "i", "j", "node", "set")
+    t = t.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return t.mapInArrow(_exact(alike), "a long, b long")
+
+
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), radius: int = RADIUS) -> DataFrame:
     """One row per input row: id, ``carry``, fingerprint (16 hex digits), component_id, component_size.
 
@@ -347,20 +470,25 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(found, F.col("node") == F.col("__node"), "left").select(id_col, *[F.col(f"__c_{c}").alias(c) for c in extra], hexed.alias("fingerprint"), "component_id", F.col("members").alias("component_size"))
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), radius: int = NEAR_RADIUS, bits: int = NEAR_BITS, shingle: int = WORDS) -> DataFrame:
-    """One row per input row: id, ``carry``, component_id, component_size, linking texts whose shingles are about 0.8 alike or more.
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), radius: int = NEAR_RADIUS, bits: int = NEAR_BITS, shingle: int = WORDS, alike: float = ALIKE) -> DataFrame:
+    """One row per input row: id, ``carry``, component_id, component_size, linking texts whose shingle sets are ``alike`` or more.
 
-    Candidates come from the word fingerprints by the generalised pigeonhole;
-    they are linked if their 256-bit shingle fingerprints differ in at most
-    ``bits``. Cases are as for ``simhash_dedup``. Rows are written once with
-    their prints, so texts are not fingerprinted twice.
+    Candidates come from the word fingerprints by the generalised pigeonhole, if
+    their 256-bit shingle fingerprints differ in at most ``bits``; within the
+    groups of candidates the Jaccard similarity of the shingle sets is exact, so
+    no row is linked that has no text ``alike``. Cases are as for
+    ``simhash_dedup``; texts with equal sets are one node, those without words
+    too. Rows are written once with their prints, so texts are not fingerprinted
+    twice.
     """
     docs = narrow(df, *dict.fromkeys((id_col, text_col, *carry)))
-    extra = [c for c in dict.fromkeys(carry) if c != id_col]
-    kind = "struct<" + ",".join(f"p{i}:long" for i in range(5)) + ">"
+    extra = [c for c in dict.fromkeys(carry) if c not in (id_col, text_col)]
+    kind = "struct<" + ",".join(f"p{i}:long" for i in range(6)) + ">"
     run = F.arrow_udf(lambda t: near_prints(t, shingle), kind)
-    words = [f"__p{i}" for i in range(5)]
-    rows = docs.withColumn("__p", run(F.col(text_col))).select(id_col, *[F.col(c).alias(f"__c_{c}") for c in extra], *[F.col(f"__p.p{i}").alias(w) for i, w in enumerate(words)])
+    words = [f"__p{i}" for i in range(6)]
+    rows = docs.withColumn("__p", run(F.col(text_col))).select(id_col, F.col(text_col).alias("__t"), *[F.col(c).alias(f"__c_{c}") for c in extra], *[F.col(f"__p.p{i}").alias(w) for i, w in enumerate(words)])
     rows = Scratch(df.sparkSession, "near-rows").table(rows.withColumn("node", F.xxhash64(*words)), "rows")
-    found = near_components(rows.select(id_col, "node", *words), id_col, words[0], tuple(words[1:]), radius, bits)
-    return rows.join(found, F.col("node") == F.col("__node"), "left").select(id_col, *[F.col(f"__c_{c}").alias(c) for c in extra], "component_id", F.col("members").alias("component_size"))
+    check = lambda roots: exact_check(rows, roots, alike, shingle)
+    found = near_components(rows.select(id_col, "node", *words[:5]), id_col, words[0], tuple(words[1:5]), radius, bits, check)
+    kept = [F.col("__t" if c == text_col else f"__c_{c}").alias(c) for c in dict.fromkeys(carry) if c != id_col]
+    return rows.join(found, F.col("node") == F.col("__node"), "left").select(id_col, *kept, "component_id", F.col("members").alias("component_size"))

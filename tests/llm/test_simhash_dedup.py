@@ -148,3 +148,68 @@ def test_wide_words_are_verified(spark):
 
     got = {r.u: r.root for r in components(S.link(df, 4, 4096, 2)).collect()}
     assert got == {1: 0, 2: 0, 4: 0}
+
+
+@pytest.mark.parametrize("block", [None, 8])
+def test_near_copies_against_brute_force(make, monkeypatch, block):
+    """Edits of every kind around the similarity asked for: nothing goes that has no text alike, and most that have one do."""
+    if block:
+        monkeypatch.setattr(S, "SET_BLOCK", block)
+        monkeypatch.setattr(S.exact_check, "__defaults__", (S.ALIKE, S.WORDS, block))
+    rng = random.Random(5)
+    word = lambda: f"t{int(rng.paretovariate(0.5)) % 4000}"
+    texts = {}
+    for g in range(40):
+        w = [word() for _ in range(rng.choice([100, 250, 600]))]
+        k = rng.uniform(0.02, 0.3)
+        n = int(len(w) * k)
+        swapped = list(w)
+        for _ in range(max(1, n // 6)):
+            swapped[rng.randrange(len(w))] = word()
+        for j, v in enumerate((w, w[: len(w) - n], w + [word() for _ in range(n)], swapped)):
+            texts[10 * g + j] = " ".join(v)
+    if block:
+        texts |= {1000 + i: texts[0] + f" x{i}" for i in range(60)}
+    got = {r.doc_id: r.component_id for r in S.near_copies(make(list(texts.items()))).collect()}
+    ids = sorted(texts)
+    near = {(a, b): jaccard(texts[a], texts[b]) for a in ids for b in ids if a < b and (a // 10 == b // 10 or min(a, 1000) in (0, 1, 2, 3, 1000) and b >= 1000)}
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), j in near.items():
+        if j >= 0.8:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    assert all(root(got[i]) == root(i) for i in ids)  # no link that isn't one
+    linked = [(a, b) for (a, b), j in near.items() if j >= 0.8]
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.8 * len(linked)
+    sure = [(a, b) for (a, b), j in near.items() if j >= 0.92]
+    assert sum(got[a] == got[b] for a, b in sure) >= 0.97 * len(sure)
+
+
+def test_exact_links_are_those_of_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 30):
+        base = rng.integers(0, 60, (3, 25)).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(25) < 0.06, rng.integers(0, 60, 25), base[rng.integers(3)]).astype(np.uint64)) for _ in range(n)]
+        like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        up = list(range(n))
+
+        def root(x, up):
+            return x if up[x] == x else root(up[x], up)
+
+        for a in range(n):
+            for b in range(a):
+                if like(sets[a], sets[b]) >= 0.8:
+                    x, y = root(a, up), root(b, up)
+                    up[max(x, y)] = min(x, y)
+        mine = list(range(n))
+        for a, b in S.exact_links(sets):
+            assert like(sets[a], sets[b]) >= 0.8
+            x, y = root(a, mine), root(b, mine)
+            mine[max(x, y)] = min(x, y)
+        assert [root(i, mine) for i in range(n)] == [root(i, up) for i in range(n)]
