@@ -34,8 +34,9 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where that setting is missing, as in local tests, a temporary folder
-    of the (then single) machine is taken.
+    Only where that setting is missing and the master is local, as in tests, a
+    temporary folder of the (then single) machine is taken; on a cluster without
+    the setting ValueError is raised, as executors would write to disks of their own.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
@@ -43,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="corvane-")
     spark.sparkContext.setCheckpointDir(made)
     return made

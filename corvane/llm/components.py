@@ -22,14 +22,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for k in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are written, as adaptive execution splits a hot centre only where a join reads both sides from shuffles of its own
+        least = store.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"least{k}")
+        large = store.table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"large{k}")
+        least = store.table(large.groupBy("u").agg(F.min("v").alias("m")), f"small{k}")
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = store.table(small, str(k))
         sign = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        store.drop(str(k - 1))
+        for name in (str(k - 1), f"least{k}", f"large{k}", f"small{k}"):
+            store.drop(name)
         if sign == seen:
             return now.select("u", F.col("v").alias("root"))
         seen = sign

@@ -18,7 +18,8 @@ from corvane.llm.common import SPACE, WORD, Scratch, narrow, small
 
 BLOCK = 32
 SHARD_WORDS = 1 << 16
-MAX_SHARDS = 4096
+#: As many as the draw has numbers for; shards grow in number, not in size, up to 10^12 words a source.
+MAX_SHARDS = 1 << 24
 MAX_REPEAT = 3
 #: A prime above any number of blocks in a shard, so multiplying by it permutes block numbers.
 STEP = 2147483629
@@ -81,8 +82,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """One row per input row: id, source, size, source_size, target, taken.
 
     Plan: texts are read once for their sizes, never shuffled. One narrow shuffle
-    groups rows by (source, shard); a shard has about ``shard_words`` words until
-    a source has MAX_SHARDS, so a hot source spreads over thousands of tasks.
+    groups rows by (source, shard); a shard has about ``shard_words`` words, so a
+    hot source spreads over as many tasks as it has data for.
 
     ``taken`` counts the words that the mix takes from the row, repeats counted,
     and is at most 3 times ``size``. Defined cases: a null text has no words; a

@@ -360,6 +360,7 @@ def link(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, bits: int = 0
     keys = fps.mapInArrow(_probes(parts), "part long, key long, " + ", ".join(f"{c} long" for c in fps.columns))
     hot = keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     hot = hot.select(F.col("part").alias("__p"), F.col("key").alias("__k"), F.ceil(F.col("n") / block * 2).alias("__c"))
+    hot = Scratch(fps.sparkSession, "hot").table(hot, "keys")  # written, so that the rows of a hot key can be split in the join
     keys = keys.join(hot, (F.col("part") == F.col("__p")) & (F.col("key") == F.col("__k")), "left")
     mine = F.pmod(F.xxhash64("node"), F.col("__c"))
     pair = lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"))
@@ -385,6 +386,7 @@ def near_components(rows: DataFrame, id_col: str, fp: str, wide: tuple[str, ...]
     linked = roots.select("root").distinct()
     t = store.table(t, "fps_roots")
     groups = t.join(linked, "root", "left_semi").groupBy("root").agg(F.min("best").alias("least"), F.sum("n").alias("all")).withColumnRenamed("root", "__root")
+    groups = store.table(groups, "groups")
     return t.join(groups, F.col("root") == F.col("__root"), "left").select(F.col("node").alias("__node"), F.coalesce("least", "best").alias("component_id"), F.coalesce("all", "n").alias("members"))
 
 
