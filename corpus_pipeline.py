@@ -3,6 +3,12 @@
 Toxic documents go, then exact copies, then all but one of each group of near
 copies; what is left is mixed to the target weights and packed into sequences.
 Every stage is the production operator with its own defaults.
+
+Defined cases, for every stage and for run(): a null or empty text is a document
+like any other until the mix, which leaves rows without words out; null
+identifiers stand above all others; rows that repeat an identifier and a text share
+one fate up to the mix; null sources are a source of their own; extra columns, also
+of clashing names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,30 +25,33 @@ from corvane.llm.toxicity import toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the score rejects go; clean ones and those without evidence stay."""
+    """Documents that the score rejects go; clean ones and those without evidence stay, null and empty texts too unless calibration rejects the base rate."""
     scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=DOCUMENT)
     return scored.where("predicted = 0").select(*DOCUMENT)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays, of a group without identifiers every row; a null text equals an empty one."""
     return exact_dedup(docs, carry=DOCUMENT).where("kept").select(*DOCUMENT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with five-word shingles 0.8 alike or more, the row with the smallest doc_id stays."""
+    """Of each group of texts with a Jaccard similarity of five-word shingles of 0.8 or more, checked exactly, the row with the smallest doc_id stays.
+
+    Texts without words are one group; rows that repeat the smallest doc_id of a group all stay.
+    """
     found = near_copies(docs, carry=DOCUMENT)
     return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*DOCUMENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeat, shrink to their picked blocks or go, so that each source comes to its target; n_chars follows."""
+    """Rows repeat, shrink to their picked blocks or go, so that each source comes to its target; n_chars follows. Rows without words go."""
     mixed = mix_documents(docs, carry=("lang",)).withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(*DOCUMENT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of a document in a sequence."""
+    """The place of each piece of a document in a sequence; rows with equal identifiers are packed as different documents."""
     return best_fit(docs)
 
 

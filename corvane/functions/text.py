@@ -29,6 +29,17 @@ PRODUCT_FIELDS = (
     ("Title", "title"), ("Category", "category_path"), ("Product type", "product_type"), ("Brand", "brand"), ("Color", "color"),
     ("Material", "material"), ("Style", "style"), ("Dimensions", "dimensions"), ("Features", "bullet_points"), ("Description", "description"),
 )
+ENGLISH_STOPWORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves",
+    "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as",
+    "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before",
+    "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further",
+    "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other",
+    "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just",
+    "don", "should", "now",
+)
 CORPUS_STOPWORDS = (
     "title", "titl", "author", "description", "descript", "genre", "genres", "genr", "place", "places", "goodreads", "goodread",
     "page", "pages", "book", "books", "edition", "editions", "isbn", "cover", "paperback", "hardcover", "kindle", "ebook",
@@ -190,7 +201,7 @@ def has_negation(text: Column) -> Column:
     return F.coalesce(F.lower(text).contains(" not "), F.lit(False))
 
 
-def corpus_words(text: Column, stop: Sequence[str] = STOPWORDS + CORPUS_STOPWORDS, lemma=None) -> Column:
+def corpus_words(text: Column, stop: Sequence[str] = ENGLISH_STOPWORDS + CORPUS_STOPWORDS, lemma=None) -> Column:
     """Words for embeddings: English letters only, over two long, no stop words, before and after ``lemma``."""
     ok = lambda w: (F.length(w) > 2) & ~w.isin(*stop)
     split = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\s]", " "), r"\s+"), ok)

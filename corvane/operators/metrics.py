@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 GRADED = ("precision_at_5", "precision_at_10", "recall_at_10", "recall_at_20", "map", "ndcg_at_5", "ndcg_at_10", "judged_coverage")
 
 
+def length_check(actual: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row: the numbers of queries in both frames, and whether they are the same."""
+    n = lambda t, name: t.agg(F.countDistinct("query_id").alias(name))
+    return n(actual, "actual").crossJoin(n(predicted, "predicted")).withColumn("same", F.col("actual") == F.col("predicted"))
+
+
+def same_length(actual: DataFrame, predicted: DataFrame) -> None:
+    """Raise ValueError unless both frames have as many queries."""
+    if not length_check(actual, predicted).first()["same"]:
+        raise ValueError("actual and predicted must have the same length")
+
+
 def _div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -113,6 +125,13 @@ def error_cases(per_query: DataFrame, pairs: dict[str, tuple[str, str, str]], me
     return out
 
 
+def error_lists(cases: DataFrame, before: DataFrame, after: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
+    """(case, query_id, stage, rank, doc_id, relevance): the first ``k`` documents of each case before and after; unjudged ones have relevance null."""
+    lists = before.select("query_id", "rank", "doc_id", F.lit("before").alias("stage")).unionByName(after.select("query_id", "rank", "doc_id", F.lit("after").alias("stage")))
+    t = cases.select("case", "query_id").join(lists.where(F.col("rank") <= k), "query_id")
+    return t.join(qrels.select("query_id", "doc_id", "relevance"), ["query_id", "doc_id"], "left").select("case", "query_id", "stage", "rank", "doc_id", "relevance")
+
+
 def rank_shift(before: DataFrame, after: DataFrame) -> DataFrame:
     """(query_id, doc_id, before, after, shift) of documents in both runs; a positive shift is a rise."""
     b = before.select("query_id", "doc_id", F.col("rank").alias("before"))

@@ -198,8 +198,13 @@ _WORDS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')
 _HITS = f"""WITH {_REQ}, {_CAT},
 h0 AS (SELECT query_id, product_id, count(*) AS score FROM (SELECT query_id, unnest({_WORDS.format('query_text')}) AS w FROM req) JOIN (SELECT product_id, unnest({_WORDS.format('product_text')}) AS w FROM cat) USING (w) GROUP BY ALL),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM h0 QUALIFY rank <= 20)"""
-_CORPUS_STOP = "(" + ", ".join(S.quoted(w) for w in T.STOPWORDS + T.CORPUS_STOPWORDS) + ")"
-_CORPUS = "list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN " + _CORPUS_STOP + ")"
+# Fixed values, written apart from those of the query.
+_CORPUS_STOP = """(SELECT unnest(string_split('i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as
+until while of at by for with about against between into through during before after above below to from up down in out on off over under again further
+then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+title titl author description descript genre genres genr place places goodreads goodread page pages book books edition editions isbn cover paperback hardcover kindle ebook', ' ')))""".replace("\n", " ").removeprefix("(SELECT unnest(").removesuffix("))")
+_CORPUS = "list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains(" + _CORPUS_STOP + ", w))"
 _CK = {"ids are not empty": "true", "titles are not empty": "true", "texts are not empty": "true", "ids are unique": "true", "more than one type": "true", "texts are longer than titles": "true"}
 
 ORACLE_SQL = {

@@ -170,6 +170,26 @@ def error_cases(spark, d):
     return _r(metrics.error_cases(per, pairs), "delta")
 
 
+def error_lists(spark, d):
+    names = lambda t: t.withColumnRenamed("id", "doc_id")
+    return metrics.error_lists(error_cases(spark, d), names(_fused(spark, d)), names(vectors.rerank(_scored(spark, d))), _qrels(spark, d))
+
+
+def length_check(spark, d):
+    """All queries, and queries of which every other one has no results."""
+    actual, runs = _qrels(spark, d), _dense(spark, d, 10)
+    some = metrics.length_check(actual, runs.where("query_id % 100 = 0"))
+    return metrics.length_check(actual, runs).withColumn("input", F.lit("whole")).unionByName(some.withColumn("input", F.lit("damaged")))
+
+
+def odd_one_out_accuracy(spark, d):
+    """Expected is, of each four, the one whose label is rarest among them, the first on a tie."""
+    t = _all(spark, d).select(F.floor(F.col("vec_id") / 4).cast("long").alias("group_id"), "vec_id", "label")
+    n = t.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    expected = t.join(n, ["group_id", "label"]).groupBy("group_id").agg(F.min_by("vec_id", F.struct("n", "vec_id")).alias("expected"))
+    return _r(metrics.accuracy(odd_one_out(spark, d).join(expected, "group_id"), "odd", "expected"), "accuracy")
+
+
 def rank_shift(spark, d):
     names = lambda t: t.withColumnRenamed("id", "doc_id")
     return metrics.rank_shift(names(_fused(spark, d)), names(vectors.rerank(_scored(spark, d))))
@@ -250,7 +270,7 @@ def metric_checks(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, nearest, l2_normalize, sparsify, sparse_topk, sparse_topk_zeros, minmax, zscore, rrf, weighted_fusion, rrf_image_minmax, rerank_fused, strategy_a, candidate_stats, judgment_pool, precision_recall_f1, map_mrr, dcg_ndcg, graded_metrics, metrics_by_type, error_cases, rank_shift, top_changes, nested_results, odd_one_out, self_retrieval, silhouette, dbscan, sparse_stats, qrels_coverage, query_types, source_combinations, pca, dense_checks, result_checks, score_checks, metric_checks)
+    for f in (dense_topk, nearest, l2_normalize, sparsify, sparse_topk, sparse_topk_zeros, minmax, zscore, rrf, weighted_fusion, rrf_image_minmax, rerank_fused, strategy_a, candidate_stats, judgment_pool, precision_recall_f1, map_mrr, dcg_ndcg, graded_metrics, metrics_by_type, error_cases, error_lists, length_check, odd_one_out_accuracy, rank_shift, top_changes, nested_results, odd_one_out, self_retrieval, silhouette, dbscan, sparse_stats, qrels_coverage, query_types, source_combinations, pca, dense_checks, result_checks, score_checks, metric_checks)
 }
 
 _V = f"WITH {S.VECTORS}"
@@ -289,6 +309,10 @@ f1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(prefusi
 
 _CHECK = lambda names: " UNION ALL ".join(f"SELECT {S.quoted(n)} AS \"check\", {t} AS passed" for n, t in names.items())
 
+_CASES = f"""{_RUNS}, wide AS (SELECT query_id, {', '.join(f"coalesce(max(ndcg_at_10) FILTER (run_name = '{r}'), 0) AS {r}" for r in ('dense_single_vector', 'sparse_splade', 'hybrid_prefusion', 'hybrid_cross_encoder_fused'))} FROM pq GROUP BY 1),
+d AS (SELECT query_id, round(dense_single_vector - sparse_splade, 9) AS a, round(hybrid_cross_encoder_fused - hybrid_prefusion, 9) AS b FROM wide)
+(SELECT 'dense_over_sparse' AS "case", query_id, round(a, 6) AS delta FROM d ORDER BY a DESC, query_id LIMIT 1) UNION ALL (SELECT 'rerank_helps', query_id, round(b, 6) FROM d ORDER BY b DESC, query_id LIMIT 1) UNION ALL (SELECT 'rerank_hurts', query_id, round(b, 6) FROM d ORDER BY b, query_id LIMIT 1)"""
+
 ORACLE_SQL = {
     "dense_topk": f"{_V} SELECT query_id, id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10",
     "nearest": f"""{_V}, c AS (SELECT query_id, id, list_cosine_similarity(qs.v, xs.v) AS score FROM qs, xs WHERE query_id <> id)
@@ -319,9 +343,15 @@ SELECT query_id, doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY que
     "dcg_ndcg": f"{_BIN} SELECT query_id, round(dcg, 6) AS dcg, round(dcg / ideal, 6) AS ndcg FROM per",
     "graded_metrics": f"{_RUNS} SELECT run_name, query_id, {_M8} FROM pq",
     "metrics_by_type": f"{_RUNS} SELECT run_name, CASE WHEN grouping(query_type) = 1 THEN 'all' ELSE query_type END AS query_type, count(*) AS num_queries, {_A8} FROM pq JOIN ty USING (query_id) GROUP BY GROUPING SETS ((run_name, query_type), (run_name))",
-    "error_cases": f"""{_RUNS}, wide AS (SELECT query_id, {', '.join(f"coalesce(max(ndcg_at_10) FILTER (run_name = '{r}'), 0) AS {r}" for r in ('dense_single_vector', 'sparse_splade', 'hybrid_prefusion', 'hybrid_cross_encoder_fused'))} FROM pq GROUP BY 1),
-d AS (SELECT query_id, round(dense_single_vector - sparse_splade, 9) AS a, round(hybrid_cross_encoder_fused - hybrid_prefusion, 9) AS b FROM wide)
-(SELECT 'dense_over_sparse' AS "case", query_id, round(a, 6) AS delta FROM d ORDER BY a DESC, query_id LIMIT 1) UNION ALL (SELECT 'rerank_helps', query_id, round(b, 6) FROM d ORDER BY b DESC, query_id LIMIT 1) UNION ALL (SELECT 'rerank_hurts', query_id, round(b, 6) FROM d ORDER BY b, query_id LIMIT 1)""",
+    "error_cases": f"""{_CASES}""",
+    "error_lists": f"""WITH cases AS ({_CASES}), {_RUNS.strip().removeprefix('WITH ')}
+SELECT "case", c.query_id, stage, rank, l.doc_id, relevance FROM cases c JOIN (SELECT query_id, 'before' AS stage, rank, id AS doc_id FROM rrf UNION ALL SELECT query_id, 'after', rank, id FROM rer) l ON l.query_id = c.query_id AND rank <= 5 LEFT JOIN qrels q ON q.query_id = l.query_id AND q.doc_id = l.doc_id""",
+    "length_check": "WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 100 = 0) AS h FROM embeddings WHERE vec_id % 50 = 0) SELECT n AS actual, n AS predicted, true AS same, 'whole' AS input FROM n UNION ALL SELECT n, h, n = h, 'damaged' FROM n",
+    "odd_one_out_accuracy": """WITH x AS (SELECT vec_id // 4 AS group_id, vec_id % 4 AS pos, vec_id AS word, label, embedding::DOUBLE[] AS v FROM embeddings),
+m AS (SELECT a.group_id, a.pos, a.word, avg(list_cosine_similarity(a.v, b.v)) AS mean FROM x a JOIN x b ON a.group_id = b.group_id AND a.pos <> b.pos GROUP BY ALL),
+o AS (SELECT group_id, word AS odd FROM m QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY round(mean, 9), pos) = 1),
+e AS (SELECT group_id, word AS expected FROM (SELECT *, count(*) OVER (PARTITION BY group_id, label) AS n FROM x) QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n, word) = 1)
+SELECT round(avg((odd = expected)::INT), 6) AS accuracy, count(*) AS n FROM o JOIN e USING (group_id)""",
     "rank_shift": f"{_R} SELECT b.query_id, b.id AS doc_id, b.rank AS before, a.rank AS after, b.rank - a.rank AS shift FROM rrf b JOIN rer a ON a.query_id = b.query_id AND a.id = b.id",
     "top_changes": f"{_R} SELECT count(*) AS queries, count(*) FILTER (a.id IS DISTINCT FROM b.id) AS top_changed, min(n) AS min_pool, max(n) AS max_pool, round(avg(n), 6) AS mean_pool FROM (SELECT query_id, count(*) AS n FROM rrf GROUP BY 1) JOIN (SELECT query_id, id FROM rrf WHERE rank = 1) b USING (query_id) JOIN (SELECT query_id, id FROM rer WHERE rank = 1) a USING (query_id)",
     "nested_results": f"{_F} SELECT query_id, 'hybrid_prefusion' AS run_name, query_type <> 'image' AS sparse_applicable, count(*) AS n, min(id) FILTER (rank = 1) AS first_id FROM rrf GROUP BY query_id, query_type",

@@ -30,6 +30,7 @@ def get_spark(app: str = "corvane", cpus: int | None = None, **conf: str) -> Spa
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -51,14 +52,25 @@ def ship(spark: SparkSession) -> None:
     sc._corvane_shipped = True
 
 
-def cut(df):
-    """``df`` with its lineage cut by a checkpoint in the folder that the cluster shares; a folder of its own only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the cluster shares; a temporary one only where none is set and the master is local."""
     import tempfile
 
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+    found = sc._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (found.get() if found.isDefined() else None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="corvane-")
+    if not found.isDefined():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut(df):
+    """``df`` with its lineage cut by a checkpoint in the folder that the cluster shares."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -69,16 +81,11 @@ def stored(df):
     are. Written tables survive lost executors; they go when the driver ends.
     """
     import atexit
-    import tempfile
     import uuid
 
     spark = df.sparkSession
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = sc._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="corvane-")
-    path = f"{root.rstrip('/')}/corvane/stored-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corvane/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
 
     def drop() -> None:

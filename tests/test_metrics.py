@@ -52,3 +52,19 @@ def test_report_names_all_types(spark):
 def test_rank_by_drops_missing_scores(spark):
     t = spark.createDataFrame([("q", "a", 1, None), ("q", "b", 2, 0.5), ("q", "c", 3, 0.5)], "query_id string, doc_id string, rank int, s double")
     assert [(r.rank, r.doc_id) for r in M.rank_by(t, "s", "x").orderBy("rank").collect()] == [(1, "b"), (2, "c")]
+
+
+def test_lengths_must_agree(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x")], "query_id int, doc_id string")
+    M.same_length(a, a)
+    with pytest.raises(ValueError, match="same length"):
+        M.same_length(a, a.where("query_id = 1"))
+    M.same_length(a.limit(0), a.limit(0))
+
+
+def test_error_lists(spark):
+    runs = lambda rows: spark.createDataFrame(rows, "query_id int, rank int, doc_id string")
+    cases = spark.createDataFrame([("helps", 1), ("hurts", 1)], "case string, query_id int")
+    qrels = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "query_id int, doc_id string, relevance int")
+    got = M.error_lists(cases, runs([(1, 1, "b"), (1, 2, "a"), (2, 1, "a")]), runs([(1, 1, "a")]), qrels, 1).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(c, 1, s, 1, d, r) for c in ("helps", "hurts") for s, d, r in (("before", "b", None), ("after", "a", 2))], key=str)

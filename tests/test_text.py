@@ -88,3 +88,8 @@ def test_porter_terms(spark):
 def test_highlight_and_shorten(spark):
     assert apply(spark, ["A cat, Cat."], lambda c: T.highlight(c, "cat")) == ["A <mark>cat</mark>, <mark>Cat</mark>."]
     assert apply(spark, ["x" * 36, "y"], T.shorten) == ["x" * 35 + "...", "y"]
+
+
+def test_corpus_words_use_the_corpus_list(spark):
+    t = spark.createDataFrame([("What about the book WHICH myself between would must done, zebra pages",), (None,)], "text string")
+    assert [r[0] for r in t.select(T.corpus_words(t.text)).collect()] == [["would", "must", "done", "zebra"], []]
