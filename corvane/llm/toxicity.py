@@ -17,7 +17,6 @@ those that stand in one document only.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -116,13 +115,19 @@ class Index:
         return w / max(np.sqrt((w * w).sum()), 1e-300)
 
     def build(self, counts: list[tuple]) -> Index:
-        n, v = len(counts), len(self.idf)
-        rows = [self.vector(c) for c in counts]
-        t = np.concatenate([r[0] for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
-        w = np.concatenate([r[1] for r in rows] or [np.zeros(0)])
-        d = np.repeat(np.arange(n), [len(r[0]) for r in rows]).astype(np.int64)
+        """From (term, frequency) pairs in order of terms for each example."""
+        edges = np.concatenate([[0], np.cumsum([len(c) for c in counts], dtype=np.int64)])
+        flat = np.array([x for c in counts for x in c], np.int64).reshape(-1, 2)
+        return self.build_flat(edges, flat[:, 0], flat[:, 1])
+
+    def build_flat(self, edges: np.ndarray, t: np.ndarray, tf: np.ndarray) -> Index:
+        """From terms and frequencies of all examples, those of example i at edges[i]..edges[i + 1]."""
+        n, v = len(edges) - 1, len(self.idf)
+        d = np.repeat(np.arange(n), np.diff(edges))
+        w = (1 + np.log(tf)) * self.idf[t]
+        w /= np.maximum(np.sqrt(np.bincount(d, w * w, n)), 1e-300)[d]
         order = np.lexsort((d, t))
-        t, self.docs, self.weights = t[order], d[order], w[order]
+        t, self.docs, self.weights = t[order], d[order].astype(np.int32), w[order]
         blocks = max(1, -(-n // BLOCK))
         cell, first = np.unique(t * blocks + self.docs // BLOCK, return_index=True)
         self.cells, self.block = np.searchsorted(cell, np.arange(v + 1) * blocks), cell % blocks
@@ -221,25 +226,25 @@ def _joined(blocks: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(run[0]), int(run[-1]) + 1
 
 
-def in_groups(counts: list[tuple], weight: np.ndarray, groups: int = 16, features: int = 512) -> np.ndarray:
+def in_groups(edges: np.ndarray, t: np.ndarray, tf: np.ndarray, weight: np.ndarray, groups: int = 16, features: int = 512) -> np.ndarray:
     """A group number for each example, by a few rounds of k-means over its most frequent terms, so that like ones share blocks.
 
     That makes the blocks' bounds tighter; it has no part in the results.
     """
-    n = len(counts)
-    often = Counter(i for c in counts for i, _ in c).most_common(features)
-    column = {i: k for k, (i, _) in enumerate(sorted(often, key=lambda x: (-x[1], x[0])))}
-    m = np.zeros((n, max(len(column), 1)))
-    for r, c in enumerate(counts):
-        for i, tf in c:
-            if i in column:
-                m[r, column[i]] = (1 + np.log(tf)) * weight[i]
-    m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
-    mean = m[:: max(1, n // groups)][:groups]
+    n = len(edges) - 1
     group = np.zeros(n, np.int64)
+    often = np.argsort(-np.bincount(t, minlength=len(weight)), kind="stable")[:features]
+    if not n or not len(often):
+        return group
+    column = np.full(len(weight), -1)
+    column[often] = np.arange(len(often))
+    m, held = np.zeros((n, len(often)), np.float32), column[t] >= 0
+    m[np.repeat(np.arange(n), np.diff(edges))[held], column[t[held]]] = ((1 + np.log(tf)) * weight[t])[held]
+    m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-30)
+    mean = m[:: max(1, n // groups)][:groups]
     for _ in range(5):
-        group = np.argmax(m @ mean.T, axis=1) if n else group
-        mean = np.stack([m[group == g].mean(0) if (group == g).any() else mean[g] for g in range(len(mean))]) if n else mean
+        group = np.argmax(m @ mean.T, axis=1)
+        mean = np.stack([m[group == g].mean(0) if (group == g).any() else mean[g] for g in range(len(mean))])
     return group
 
 
@@ -330,37 +335,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.join(F.broadcast(drawn), docs[id_col] == drawn["id"]).select("id", "role", "label", F.col(text_col).alias("text"))
     texts = store.table(texts, "texts")
     kind = drawn.schema["id"].dataType.simpleString()
-    words = sorted(r["w"] for r in texts.where("role = 0").select("text").mapInArrow(_words, "w string").distinct().collect())
+    words = sorted(texts.where("role = 0").select("text").mapInArrow(_words, "w string").distinct().toArrow().column(0).to_pylist())
     shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(words) + 1, np.int64)
-    for r in counted:
-        df[r["term"]] = r["df"]
-    shared.unpersist()
-    n, vocabulary = int(df[-1]), {}
-    for i in np.flatnonzero(df[:-1] >= LEAST_DF).tolist():
-        vocabulary[words[i]] = len(vocabulary)
-    idf = np.log((1 + n) / (1 + df[:-1][df[:-1] >= LEAST_DF])) + 1
+    df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    shared.destroy()
+    n, common = int(df[-1]), np.flatnonzero(df[:-1] >= LEAST_DF)
+    vocabulary = {words[i]: k for k, i in enumerate(common.tolist())}
+    idf = np.log((1 + n) / (1 + df[common])) + 1
+    del words, counted
     shared = spark.sparkContext.broadcast(vocabulary)
     vectors = store.table(texts.mapInArrow(_vectors(shared), f"id {kind}, role int, label int, ids array<long>, tf array<long>"), "vectors")
-    rows = [(r["id"], r["label"], tuple(zip(r["ids"], r["tf"], strict=True))) for r in vectors.where("role = 0").collect()]
-    held = np.zeros((2, len(vocabulary)))
-    for _, label, counts in rows:
-        held[label, [i for i, _ in counts]] += 1
-    idf = idf * relevance(held[1], held[0], sum(r[1] for r in rows), sum(1 - r[1] for r in rows))
-    rows.sort(key=lambda r: (r[1], str(r[0]), r[2]))
-    group = in_groups([r[2] for r in rows], idf)
-    rows = [rows[k] for k in np.lexsort((group, [r[1] for r in rows]))]  # like examples share blocks
-    index = Index(vocabulary, idf, [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)).build([r[2] for r in rows])
+    shared.destroy()
+    # few narrow rows, in arrays: examples by label, then by likeness, so that like ones share blocks
+    rows = vectors.where("role = 0").orderBy("label", F.col("id").cast("string"), "ids", "tf").toArrow().combine_chunks()
+    label, edges, t, tf = rows.column("label").to_numpy(), *_flat(rows)
+    where = np.repeat(np.arange(len(label)), np.diff(edges))
+    held = [np.bincount(t[label[where] == y], minlength=len(idf)) for y in (0, 1)]
+    idf = idf * relevance(held[1], held[0], int(label.sum()), int((1 - label).sum()))
+    order = np.lexsort((in_groups(edges, t, tf, idf), label))
+    rows = rows.take(pa.array(order))
+    label, edges, t, tf = rows.column("label").to_numpy(), *_flat(rows)
+    index = Index(vocabulary, idf, rows.column("id").to_pylist(), label.astype(np.int64)).build_flat(edges, t, tf)
+    del rows, t, tf, where
     size = {r["label"]: r["n"] for r in vectors.where("role = 1").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    index.base = size.get(1, 0) / sum(size.values()) if size else float(index.labels.mean()) if rows else 0.0
+    index.base = size.get(1, 0) / sum(size.values()) if size else float(label.mean()) if len(label) else 0.0
     shared = spark.sparkContext.broadcast(index)
     check = vectors.where("role = 1").select("label", "ids", "tf").repartition(spark.sparkContext.defaultParallelism)
     check = check.mapInArrow(_raws(shared), "label int, raw double").collect()
+    shared.destroy()
     index.calibrate(np.array([r["raw"] for r in check]), np.array([r["label"] for r in check]))
     return index
 
 
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, terms, frequencies) of a table with lists ids and tf."""
+    size = pc.list_value_length(rows.column("ids")).to_numpy().astype(np.int64)
+    return np.concatenate([[0], np.cumsum(size)]), *(pc.list_flatten(rows.column(c)).to_numpy().astype(np.int64) for c in ("ids", "tf"))
+
+
 def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Squared log2(2 + r), r being the share of label 1's examples with the term over that of label 0's, both drawn to the common share."""
     if not n1 or not n0:
