@@ -28,7 +28,7 @@ SHINGLE = 4
 #: For near copies: words in a shingle, radius of the word fingerprints, differing bits of 256 up to which a pair is a
 #: candidate (at a Jaccard similarity of 0.8 the expected number is 39, its deviation 6), and the similarity asked for.
 WORDS = 5
-NEAR_RADIUS = 10
+NEAR_RADIUS = 8
 NEAR_BITS = 60
 ALIKE = 0.8
 #: Shingle sets compared as one block in the exact check.
