@@ -25,8 +25,10 @@ LIMIT = 512
 MEMO = 400_000
 #: Characters of text cut into pre-tokens at once.
 CHUNK = 1 << 19
-#: Characters whose class no version of Unicode or library disputes; other texts go to the library whole.
+#: Characters whose class no version of Unicode or library disputes; where others stand, the library's own pre-tokenizer cuts.
 _ODD = re.compile("[^\t-\r -\x7e\xa0-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞ぁ-んァ-ヶ一-龥가-힣]")
+#: Letters in every version of Unicode: a place between one of them, or a visible ASCII character, a space and one of them borders on pre-tokens.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ƺΑ-ΡΣ-ωА-я\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0905-\u0939\u0e01-\u0e30ぁ-んァ-ヶ一-龥가-힣"
 
 
 class Counts:
@@ -44,7 +46,7 @@ class Counts:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.cut = regex.compile(r"(?<=\S) (?=\p{L})")
+        self.cut = re.compile(f"(?<=[!-~{_LETTERS}]) (?=[{_LETTERS}])")
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.memo: dict[str, int] = {}
@@ -63,12 +65,14 @@ class Counts:
             at = m.start()
         yield text[at:]
 
+    def _pre_tokens(self, part: str) -> list[str]:
+        if _ODD.search(part):
+            return [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
+        return self.pattern.findall(part)
+
     def many(self, texts: list[str]) -> list[int]:
         out, docs = [0] * len(texts), []
         for k, text in enumerate(texts):
-            if _ODD.search(text):
-                out[k] = self._encode([text])[0]
-                continue
             pieces = [text]
             if self.special and (marks := self.special.findall(text)):
                 out[k] += len(marks)
@@ -76,7 +80,7 @@ class Counts:
             freq: Counter[str] = Counter()
             for piece in pieces:
                 for part in self._parts(piece):
-                    freq.update(self.pattern.findall(part))
+                    freq.update(self._pre_tokens(part))
             docs.append((k, freq))
         new = list({p for _, freq in docs for p in freq if p not in self.memo})
         if len(self.memo) + len(new) > MEMO:

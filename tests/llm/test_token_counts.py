@@ -49,6 +49,20 @@ def test_cut_texts_and_small_memo(monkeypatch):
     assert K.Counts(PATH).many(texts) == [library(t) for t in texts]
 
 
+def test_odd_characters_are_cut_and_counted_by_pre_token(monkeypatch):
+    monkeypatch.setattr(K, "CHUNK", 64)
+    monkeypatch.setattr(K, "MEMO", 200)
+    rng = random.Random(2)
+    words = ["שלום", "العربية", "हिन्दी", "ภาษาไทย", "😀👍🏽", "5 €", "ёлка", "e\u0301te\u0301", "it's", "don’t", "\u200b", "x1", "...", "\n\n", "<|endoftext|>", "\u0378", "\x85", "Ⅷ²", "  "]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 200))) for _ in range(60)]
+    counts = K.Counts(PATH)
+    longest = []
+    encode = counts._encode
+    monkeypatch.setattr(counts, "_encode", lambda t: longest.extend(map(len, t)) or encode(t))
+    assert counts.many(texts) == [library(t) for t in texts]
+    assert max(longest) < 100  # pre-tokens only, never a text
+
+
 def test_rows(make, odd_rows):
     got = K.token_counts(make(odd_rows)).collect()
     want = sorted(((r[0], len((r[1] or "").encode()), library(r[1] or "")) for r in odd_rows), key=str)
