@@ -22,6 +22,8 @@ SIZES = (512, 1024, 2048, 4096)
 #: Cost of a sequence besides its length, in tokens.
 OVERHEAD = 48
 SHARD_PIECES = 4096
+#: Rows with the same identifier and length that are dealt out together.
+COPIES = 64
 
 
 class _Lengths:
@@ -105,41 +107,52 @@ def _pack_shards(sizes: Sequence[int], overhead: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, schema = [], None
         for b in it:
-            schema = pa.schema([*zip(b.schema.names, b.schema.types, strict=True), ("bin", pa.int64()), ("offset", pa.int64()), ("capacity", pa.int64())])
+            schema = pa.schema([*zip(b.schema.names[:-1], b.schema.types[:-1], strict=True), ("bin", pa.int64()), ("offset", pa.int64()), ("capacity", pa.int64())])
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and held[0][0] != row[0]:
                     yield done(held, schema)
                     held = []
-                held.append(row)
+                held.extend([row[:-1]] * row[-1])
         if held:
             yield done(held, schema)
 
     return run
 
 
-def best_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, seed: int = 3) -> DataFrame:
+def best_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | str | None = None, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, seed: int = 3) -> DataFrame:
     """One row per piece: id, piece, start, length, shard, bin, offset, capacity.
 
-    ``length`` (words by default) is a document's length; one more token ends it.
-    A document longer than the largest size is cut into pieces of that size.
-    A sequence is a (shard, bin); ``offset`` is the piece's place in it. Defined
-    cases: a null or empty text is a piece of the end token alone; ids may be null
-    or repeat, and rows with equal ids are packed as different documents; equal
-    lengths go by id, then piece; an empty table gives no rows; other columns are
-    ignored.
-
-    Plan: texts are measured in the scan and not shuffled; one narrow shuffle
-    gathers shards of about SHARD_PIECES pieces, however large a document is.
+    ``length`` is a document's length: a column of ``df`` by name, as the tokens of
+    ``best_fit(token_counts(docs), length="n_tokens")``, or an expression over id
+    and text; words by default. One more token ends the document. A document longer
+    than the largest size is cut into pieces of that size. A sequence is a (shard,
+    bin); ``offset`` is the piece's place in it. Defined cases: a null or empty
+    text and a null or negative length are a piece of the end token alone; ids may
+    be null or repeat, and rows with equal ids are packed as different documents;
+    equal lengths go by id, then piece; an empty table gives no rows; other columns
+    are ignored.
+
+    Plan: texts are measured in the scan and not shuffled. Rows that share id and
+    length give equal pieces, so they are counted first and dealt out COPIES at a
+    time: a mass of rows without id or text is spread like any other. Two narrow
+    shuffles, by (id, length) and into shards of about SHARD_PIECES pieces, however
+    large a document is.
     """
-    docs = narrow(df, id_col, text_col)
-    length = word_count(F.col(text_col)) if length is None else length
+    if isinstance(length, str):
+        docs, length = narrow(df, *dict.fromkeys((id_col, length))), F.col(length)
+    else:
+        docs = narrow(df, *dict.fromkeys((id_col, text_col)))
+        length = word_count(F.col(text_col)) if length is None else length
     store = Scratch(df.sparkSession, "packing")
-    most = max(sizes)
-    # rows with equal ids stay apart by the text's hash, which only deals them out
-    t = docs.select(F.col(id_col).alias("id"), (F.coalesce(length, F.lit(0)) + 1).cast("long").alias("n"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
-    t = t.select("id", "h", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / most) - 1)).alias("piece"))
-    t = store.table(t.select("h", "id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("length")), "pieces")
-    shards = max(1, -(-t.count() // SHARD_PIECES))
-    t = t.select(F.pmod(F.xxhash64("h", "piece"), F.lit(shards).cast("long")).alias("shard"), "id", "piece", "start", "length")
+    most, whole = max(sizes), lambda x: F.lit(x).cast("long")
+    t = docs.select(F.col(id_col).alias("id"), (F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)) + 1).cast("long").alias("n"))
+    t = t.groupBy("id", "n").agg(F.count(F.lit(1)).alias("m"))
+    t = t.select("id", "n", "m", F.explode(F.sequence(whole(0), F.ceil(F.col("m") / COPIES) - 1)).alias("block"))
+    t = t.select("id", "n", "block", F.least(whole(COPIES), F.col("m") - F.col("block") * COPIES).alias("m"), F.explode(F.sequence(whole(0), F.ceil(F.col("n") / most) - 1)).alias("piece"))
+    start = F.col("piece") * most
+    t = t.select(F.xxhash64(F.lit(seed), "id", "n", "block", "piece").alias("h"), "id", "piece", start.alias("start"), F.least(whole(most), F.col("n") - start).alias("length"), "m")
+    t = store.table(t, "pieces")
+    shards = max(1, -(-(t.agg(F.sum("m")).first()[0] or 0) // SHARD_PIECES))
+    t = t.select(F.pmod("h", whole(shards)).alias("shard"), "id", "piece", "start", "length", "m")
     t = t.repartition("shard").sortWithinPartitions("shard").mapInArrow(_pack_shards(sizes, overhead), OUT.format(t.schema["id"].dataType.simpleString()))
     return t.select(F.col("id").alias(id_col), "piece", "start", "length", "shard", "bin", "offset", "capacity")

@@ -4,7 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvane.llm.packing import SIZES, best_fit, pack
+from corvane.llm.packing import SHARD_PIECES, SIZES, best_fit, pack
+from corvane.llm.token_counts import token_counts
 
 
 @settings(max_examples=200, deadline=None)
@@ -70,3 +71,23 @@ def test_fill_on_data(spark, sf_dir):
 @pytest.mark.parametrize("rows", [[], [(1, "")]])
 def test_edge_tables(make, rows):
     assert best_fit(make(rows)).count() == len(rows)
+
+
+def test_a_mass_of_equal_rows_is_spread(spark):
+    n = 40_000
+    got = best_fit(spark.range(n).selectExpr("cast(null as long) as doc_id", "'a b c' as text")).collect()
+    assert len(got) == n and all((r.start, r.length) == (0, 4) for r in got)
+    sizes = {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + 1
+    assert len(sizes) >= n // SHARD_PIECES and max(sizes.values()) < 2 * SHARD_PIECES
+    assert len({(r.shard, r.bin, r.offset) for r in got}) == n
+
+
+def test_lengths_by_name(make, odd_rows):
+    counts = token_counts(make(odd_rows))
+    got = best_fit(counts, length="n_tokens").collect()
+    assert sum(r.length for r in got) == sum(r.n_tokens + 1 for r in counts.collect())
+    assert best_fit(counts.limit(0), length="n_tokens").count() == 0
+    low = counts.selectExpr("doc_id", "if(n_tokens % 2 = 0, null, -5) as n_tokens")
+    assert [r.length for r in best_fit(low, length="n_tokens").collect()] == [1] * len(odd_rows)
