@@ -27,7 +27,7 @@ def _queries(spark, d) -> DataFrame:
 
 
 def _dense(spark, d, k: int = TOP) -> DataFrame:
-    return vectors.dense_topk(_queries(spark, d).select("query_id", "qv"), _all(spark, d).select("vec_id", "embedding"), k)
+    return vectors.dense_topk_parts(_queries(spark, d).select("query_id", "qv"), _all(spark, d).select("vec_id", "embedding"), k)
 
 
 def _flat(spark, d) -> DataFrame:
@@ -76,7 +76,7 @@ def dense_topk(spark, d):
 
 def nearest(spark, d):
     q = _queries(spark, d).select("query_id", "qv")
-    return _r(vectors.dense_topk(q, _all(spark, d).select("vec_id", "embedding"), 5, "cosine", skip_self=True), "score")
+    return _r(vectors.dense_topk_parts(q, _all(spark, d).select("vec_id", "embedding"), 5, "cosine", skip_self=True), "score")
 
 
 def l2_normalize(spark, d):
