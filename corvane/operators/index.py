@@ -53,6 +53,23 @@ def field_stats(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("field").agg((F.sum("dl") / F.count(F.lit(1))).alias("avgdl"), F.count(F.lit(1)).alias("n_docs"))
 
 
+def field_sizes(lengths: DataFrame) -> DataFrame:
+    """(field, clen): the number of terms in a field."""
+    return lengths.groupBy("field").agg(F.sum("dl").alias("clen"))
+
+
+#: Names that a field's average length may be stored under, tried in this order.
+ALIASES = ("{field}", "{field}_document_length", "document_length")
+
+
+def average_length(stats: DataFrame, field: str, aliases: tuple[str, ...] = ALIASES) -> DataFrame:
+    """(avgdl): of the first of ``aliases`` that ``stats`` (field, avgdl) has; 0 if it has none or the value is null."""
+    names = [a.format(field=field) for a in aliases]
+    order = F.array_position(F.lit(names), F.col("field"))
+    found = stats.where(F.col("field").isin(*names)).agg(F.min_by("avgdl", order).alias("avgdl"))
+    return found.select(F.coalesce(F.col("avgdl").cast("double"), F.lit(0.0)).alias("avgdl"))
+
+
 def tiers(posts: DataFrame, thresholds: dict[str, tuple[int, int]] = TIERS) -> DataFrame:
     first = F.coalesce(*[F.when(F.col("field") == f, F.lit(t[0])) for f, t in thresholds.items()])
     second = F.coalesce(*[F.when(F.col("field") == f, F.lit(t[1])) for f, t in thresholds.items()])

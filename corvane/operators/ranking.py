@@ -87,21 +87,16 @@ def bm25(posts: DataFrame, queries: DataFrame, lengths: DataFrame, stats: DataFr
     return m.groupBy("query_id", *keys, "doc_id").agg(F.sum(part).alias("score"))
 
 
-def language_model(posts: DataFrame, queries: DataFrame, lengths: DataFrame, smoothing: str = "mixture", alpha: float = 0.5, lam: float = 0.5) -> DataFrame:
-    """Log likelihood of each query in every document of ``lengths``.
-
-    A document's score is the sum over all query terms of what tf 0 would give,
-    which depends on the length alone, plus corrections for matched postings. The
-    first part is worked out per distinct length, so no document meets a term it
-    doesn't hold. Probabilities have a floor of 1e-12, terms count as often as in the query.
-    """
+def _likelihood(posts: DataFrame, queries: DataFrame, lengths: DataFrame, smoothing: str, alpha: float, lam: float, clen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, field, dl, base): what a document of that length has without a match, and (query_id, field, doc_id, dl, more): what matches add."""
     kind = {"naive": "naive", "none": "naive", "bayes": "dirichlet", "dirichlet": "dirichlet", "bayesian": "dirichlet", "mixture": "jm", "jm": "jm", "jelinek-mercer": "jm"}.get((smoothing or "mixture").lower())
     if kind is None:
         raise ValueError(f"unknown smoothing method: {smoothing}")
     cf = posts.groupBy("field", "term").agg(F.sum("tf").alias("cf"))
-    total = cf.groupBy("field").agg(F.sum("cf").cast("double").alias("clen"))
+    if clen is None:
+        clen = cf.groupBy("field").agg(F.sum("cf").alias("clen"))
     n = lengths.groupBy("field").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
-    total = n.join(total, "field", "left").withColumn("clen", F.when(F.coalesce("clen", F.lit(0.0)) > 0, F.col("clen")).otherwise(F.lit(1.0)))
+    total = n.join(clen.select("field", F.col("clen").cast("double")), "field", "left").withColumn("clen", F.when(F.coalesce("clen", F.lit(0.0)) > 0, F.col("clen")).otherwise(F.lit(1.0)))
     q = queries.join(total, how="cross").join(cf, ["field", "term"], "left").withColumn("pc", F.coalesce("cf", F.lit(0)) / F.col("clen"))
     mu = F.lit(max(float(alpha), 0.0)) if alpha > 1 else max(float(alpha), 0.0) * F.greatest(F.col("clen") / F.col("n"), F.lit(1.0))
     lam = min(max(float(lam), 0.0), 1.0)
@@ -114,9 +109,58 @@ def language_model(posts: DataFrame, queries: DataFrame, lengths: DataFrame, smo
     sizes = lengths.select("field", "dl").distinct()
     base = sizes.join(q, "field").groupBy("query_id", "field", "dl").agg(F.sum(F.col("qtf") * log_p(F.lit(0.0), dl)).alias("base"))
     m = posts.join(q, ["field", "term"]).join(lengths, ["field", "doc_id"])
-    more = m.groupBy("query_id", "field", "doc_id").agg(F.sum(F.col("qtf") * (log_p(F.col("tf").cast("double"), dl) - log_p(F.lit(0.0), dl))).alias("more"))
+    more = m.groupBy("query_id", "field", "doc_id", "dl").agg(F.sum(F.col("qtf") * (log_p(F.col("tf").cast("double"), dl) - log_p(F.lit(0.0), dl))).alias("more"))
+    return base, more
+
+
+def language_model(posts: DataFrame, queries: DataFrame, lengths: DataFrame, smoothing: str = "mixture", alpha: float = 0.5, lam: float = 0.5, clen: DataFrame | None = None) -> DataFrame:
+    """Log likelihood of each query in every document of ``lengths``.
+
+    A document's score is the sum over all query terms of what tf 0 would give,
+    which depends on the length alone, plus corrections for matched postings. The
+    first part is worked out per distinct length, so no document meets a term it
+    doesn't hold. Probabilities have a floor of 1e-12, terms count as often as in
+    the query. ``clen`` (field, clen) is the number of terms in a field, to be
+    given if ``posts`` has the queries' terms only. There is a row for each query
+    and document: to keep the k best, take ``language_top``.
+    """
+    base, more = _likelihood(posts, queries, lengths, smoothing, alpha, lam, clen)
     every = lengths.join(base, ["field", "dl"])
-    return every.join(more, ["query_id", "field", "doc_id"], "left").select("query_id", "field", "doc_id", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return every.join(more.drop("dl"), ["query_id", "field", "doc_id"], "left").select("query_id", "field", "doc_id", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def language_top(posts: DataFrame, queries: DataFrame, lengths: DataFrame, k: int, smoothing: str = "mixture", alpha: float = 0.5, lam: float = 0.5, weights: dict[str, float] | None = None, clen: DataFrame | None = None, digits: int = 9) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best by the weighted sum of ``language_model`` over fields, without a row for each query and document.
+
+    A match never lowers a score. So of the documents that match nowhere only those
+    can be among the k best that are among them by their base already, and a base
+    depends on a document's lengths alone. Documents are grouped by these, of each
+    group the k smallest identifiers are kept, and a query meets its k best groups;
+    to these come all documents that match. Weights must not be negative, nor
+    missing: fields without one are not read. (doc_id, field) is unique in ``lengths``.
+    """
+    if k < 0 or (weights and min(weights.values()) < 0):
+        raise ValueError("k and the weights must not be negative")
+    if weights is not None:
+        used = [f for f, w in weights.items() if w]
+        posts, lengths = (t.where(F.col("field").isin(*used) if used else F.lit(False)) for t in (posts, lengths))
+    base, more = _likelihood(posts, queries, lengths, smoothing, alpha, lam, clen)
+    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(w))) for f, w in weights.items()], F.lit(0.0)) if weights else F.lit(1.0)
+    shape = lengths.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("field", "dl"))).alias("shape"))  # at most a few fields
+    name = F.col("doc_id").cast("string")
+    first = shape.withColumn("__i", F.row_number().over(W.partitionBy("shape").orderBy(name))).where(F.col("__i") <= k)  # cut on the map side too
+    parts = first.where("__i = 1").select("shape", name.alias("__least"), F.inline("shape"))
+    by_shape = parts.join(base, ["field", "dl"]).groupBy("query_id", "shape", "__least").agg(F.sum(weight * F.col("base")).alias("__base"))
+    best = W.partitionBy("query_id").orderBy(F.round("__base", digits).desc(), "__least")
+    near = by_shape.withColumn("__g", F.row_number().over(best)).where(F.col("__g") <= k).drop("__g", "__least")
+    bare = near.join(first, "shape").select("query_id", "doc_id", F.col("__base").alias("part"))
+    bare = bare.withColumn("__r", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("part", digits).desc(), name))).where(F.col("__r") <= k).drop("__r")
+    # matched documents: the base of all their fields, and what each match adds
+    found = more.select("query_id", "doc_id").distinct().unionByName(bare.select("query_id", "doc_id")).distinct()
+    whole = found.join(lengths, "doc_id").join(base, ["query_id", "field", "dl"])
+    whole = whole.join(more.drop("dl"), ["query_id", "field", "doc_id"], "left")
+    scores = whole.groupBy("query_id", "doc_id").agg(F.sum(weight * (F.col("base") + F.coalesce("more", F.lit(0.0)))).alias("score"))
+    return top_k(scores, k, digits)
 
 
 def top_k(scores: DataFrame, k: int | None, digits: int | None = 9) -> DataFrame:

@@ -64,6 +64,8 @@ class SearchEngine:
         t = {k: v.where(F.col("field").isin(*[f for f, x in w.items() if x])) for k, v in self.tables.items()}
         q = ranking.query_terms(queries, id_col, T.terms(F.col(text_col), self.stem))
         if smoothing or method.lower() == "unigram":
+            if k is not None and k >= 0 and min(w.values()) >= 0:
+                return ranking.language_top(t["postings"], q, t["doc_lengths"], k, smoothing or "mixture", alpha, lam, w)
             scores = ranking.language_model(t["postings"], q, t["doc_lengths"], smoothing or "mixture", alpha, lam)
         elif method.lower() in BM25_NAMES:
             scores = ranking.bm25(t["postings"].join(q.select("term").distinct(), "term", "left_semi"), q, t["doc_lengths"], t["field_stats"])

@@ -138,7 +138,7 @@ def idf(spark, d):
 def _vsm(method: str):
     def run(spark, d):
         t, q = _search_terms(spark, d), stored(_queries(spark, d))
-        posts = index.postings(t, only=q)
+        posts = stored(index.postings(t, only=q))  # read for frequencies and for matches
         return _ranked(ranking.vector_space(posts, q, index.field_stats(index.doc_lengths(t)), method))
 
     return run
@@ -147,25 +147,25 @@ def _vsm(method: str):
 def bm25_topk(spark, d):
     t, q = _search_terms(spark, d), stored(_queries(spark, d))
     lengths = index.doc_lengths(t)
-    return _ranked(ranking.bm25(index.postings(t, only=q), q, lengths, index.field_stats(lengths)))
+    return _ranked(ranking.bm25(stored(index.postings(t, only=q)), q, lengths, index.field_stats(lengths)))
 
 
 def bm25_fields(spark, d):
     t, q = _search_three(spark, d), stored(_field_queries(spark, d))
     lengths = index.doc_lengths(t)
-    scores = ranking.bm25(index.postings(t, only=q), q, lengths, index.field_stats(lengths))
+    scores = ranking.bm25(stored(index.postings(t, only=q)), q, lengths, index.field_stats(lengths))
     return _ranked(search.aggregate(scores, search.weights_of([0.3, 0.3, 0.4])))
 
 
 def vsm_fields(spark, d):
     t, q = _search_three(spark, d), stored(_field_queries(spark, d))
-    scores = ranking.vector_space(index.postings(t, only=q), q, index.field_stats(index.doc_lengths(t)), "ltn.lnn")
+    scores = ranking.vector_space(stored(index.postings(t, only=q)), q, index.field_stats(index.doc_lengths(t)), "ltn.lnn")
     return _ranked(search.aggregate(scores, search.weights_of({"description": 0.6, "genres": 0.2, "characters": 0.2})))
 
 
 def tiered_search(spark, d):
     t, q = _search_three(spark, d), stored(_field_queries(spark, d))
-    posts = index.tiers(index.postings(t, only=q))
+    posts = index.tiers(stored(index.postings(t, only=q)))
     scores = ranking.vector_space(posts, q, index.field_stats(index.doc_lengths(t)), "ltn.lnn", extra=("tier",))
     return _ranked(search.aggregate(search.tiered(scores, 10), search.weights_of([0.3, 0.3, 0.4])))
 
@@ -173,7 +173,9 @@ def tiered_search(spark, d):
 def _lm(smoothing: str):
     def run(spark, d):
         t, q = _search_terms(spark, d), stored(_queries(spark, d))
-        return _ranked(ranking.language_model(index.postings(t), q, index.doc_lengths(t), smoothing))
+        lengths = stored(index.doc_lengths(t))
+        top = ranking.language_top(stored(index.postings(t, only=q)), q, lengths, 10, smoothing, clen=index.field_sizes(lengths))
+        return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
     return run
 

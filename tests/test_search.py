@@ -175,3 +175,27 @@ def test_identical_documents_share_buckets(spark):
     one = {(r.doc_id, r.band): r.bucket for r in near_duplicates.buckets(s, 100, 1).collect()}
     assert one[(2, 7)] == f"7:{zlib.crc32(repr((7, (sig[2][7],))).encode())}"
     assert near_duplicates.bands_of(24) == (24, 1)
+
+
+@pytest.mark.parametrize("kind", ["naive", "dirichlet", "jm"])
+@pytest.mark.parametrize("k", [0, 1, 3, 50])
+def test_best_by_language_model_without_all_documents(spark, kind, k):
+    words = ["a1", "b1", "c1", "d1"]
+    rows = [(i, [words[(i * j) % 4] for j in range(i % 5)], [words[i % 4]] * (i % 2)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id int, x array<string>, y array<string>")
+    t = index.field_terms(docs, "id", {"description": F.col("x"), "genres": F.col("y")})
+    q = spark.createDataFrame([(1, "a1", 2), (1, "zz", 1), (2, "c1", 1), (3, "zz", 1)], "query_id int, term string, qtf long")
+    lengths, posts = index.doc_lengths(t), index.postings(t)
+    w = {"description": 0.7, "genres": 0.3, "characters": 0.0}
+    shown = lambda s: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in s.collect())
+    want = shown(ranking.top_k(search.aggregate(ranking.language_model(posts, q, lengths, kind), w), k))
+    assert shown(ranking.language_top(posts, q, lengths, k, kind, weights=w)) == want
+    only = index.postings(t, only=q)
+    assert shown(ranking.language_top(only, q, lengths, k, kind, weights=w, clen=index.field_sizes(lengths))) == want
+    assert len(want) == 3 * min(k, 40)
+
+
+def test_average_length_by_alias(spark):
+    t = spark.createDataFrame([("genres_document_length", 2.5), ("document_length", 9.0), ("genres", None)], "field string, avgdl double")
+    got = [index.average_length(s, f).first().avgdl for s, f in ((t.where("avgdl > 0"), "genres"), (t, "genres"), (t, "characters"), (t.limit(0), "genres"))]
+    assert got == [2.5, 0.0, 9.0, 0.0]
