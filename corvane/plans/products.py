@@ -30,10 +30,14 @@ def _catalog(spark, d) -> DataFrame:
 
 
 def _hits(spark, d, top: int = 20) -> DataFrame:
-    """Products by shared words with the request, then by identifier."""
+    """Products by shared words with the request, then by identifier.
+
+    The words of the requests, a fixed few, go to the catalog; its words, many
+    times its files' size, would else count as small enough to be sent to all.
+    """
     from pyspark.sql import Window as W
 
-    q = _requests(spark).select("query_id", F.explode(F.array_distinct(T.words(F.col("query_text")))).alias("w"))
+    q = F.broadcast(_requests(spark).select("query_id", F.explode(F.array_distinct(T.words(F.col("query_text")))).alias("w")))
     p = _catalog(spark, d).select("product_id", F.explode(F.array_distinct(T.words(F.col("product_text")))).alias("w"))
     t = q.join(p, "w").groupBy("query_id", "product_id").agg(F.count(F.lit(1)).alias("score"))
     return t.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "product_id"))).where(F.col("rank") <= top)

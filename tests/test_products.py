@@ -1,4 +1,5 @@
 import json
+import re
 from collections import Counter
 
 import pytest
@@ -191,3 +192,19 @@ def test_skipgram_pairs_of_documents(spark, tmp_path):
         want.update((a, b) for i, a in enumerate(w) for j, b in enumerate(w) if i != j and abs(i - j) <= 2)
     got = products.QUERIES["skipgram_pairs_documents"](spark, str(tmp_path)).collect()
     assert {(r.center, r.context): r.cnt for r in got} == want and len(got) == len(want)
+
+
+def _sent(t):
+    """What a plan sends to all tasks, as text."""
+    lines = re.split(r"\n(?=[ :]*[:+]- )", t._jdf.queryExecution().executedPlan().toString())  # texts in a plan may have line ends
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            n = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(x)), len(lines))
+            yield "\n".join(lines[i:n])
+
+
+@pytest.mark.parametrize("name", ["lexical_hits"])
+def test_catalog_is_not_sent_to_all_tasks(spark, sf_dir, name):
+    sent = list(_sent(products.QUERIES[name](spark, sf_dir)))
+    assert sent and all("FileScan" not in x or "rank#" in x for x in sent), sent
