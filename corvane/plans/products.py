@@ -43,6 +43,11 @@ def _hits(spark, d, top: int = 20) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "product_id"))).where(F.col("rank") <= top)
 
 
+def _few_hits(spark, d) -> DataFrame:
+    """The hits, at most 20 of each of the few requests, to be sent to the catalog."""
+    return F.broadcast(_hits(spark, d))
+
+
 def product_text(spark, d):
     return _catalog(spark, d).select("product_id", "product_text")
 
@@ -67,7 +72,7 @@ def lexical_hits(spark, d):
 
 def lexical_scores(spark, d):
     """The stand-in for a cross-encoder on the hits."""
-    t = _hits(spark, d).join(_catalog(spark, d), "product_id").join(_requests(spark), "query_id")
+    t = _few_hits(spark, d).join(_catalog(spark, d), "product_id").join(F.broadcast(_requests(spark)), "query_id")
     return t.select("query_id", "product_id", F.round(hooks.lexical_score(F.col("query_text"), F.col("product_text")), 6).alias("score"))
 
 
