@@ -86,6 +86,11 @@ def violations(answer: Column, query_id: Column, allowed: Column) -> Column:
     return F.array_compact(F.array(*tests))
 
 
+def _catalog(products: DataFrame) -> DataFrame:
+    """``products`` as a side of a join that is never sent whole to all tasks: files of a catalog are far smaller than its rows in memory."""
+    return products.hint("merge")
+
+
 def fallback(queries: DataFrame, hits: DataFrame, products: DataFrame) -> DataFrame:
     """(query_id, answer) without a model: the first five hits as substitutes with their catalog values as evidence.
 
@@ -98,7 +103,7 @@ def fallback(queries: DataFrame, hits: DataFrame, products: DataFrame) -> DataFr
     none = F.array().cast("array<string>")
     listed = F.array_distinct(F.filter(F.array(*[value(c) for c in has]), lambda x: x != "")) if has else none
     p = products.select("product_id", value("title").alias("__title"), listed.alias("__ev"), (value("product_type") if "product_type" in has else F.lit("")).alias("__type"))
-    t = hits.where("rank <= 5").join(p, "product_id").join(queries.select("query_id", "query_type"), "query_id")
+    t = hits.where("rank <= 5").join(_catalog(p), "product_id").join(queries.select("query_id", "query_type"), "query_id")
     first = (F.col("rank") == 1) & (F.col("query_type") == "image")
     one = F.struct(F.col("rank"), F.struct(F.col("product_id").cast("string").alias("product_id"), F.lit("substitute").alias("role"), F.when(F.size("__ev") > 0, F.col("__ev")).otherwise(F.array("__title")).alias("evidence"), none.alias("constraint_violations"), F.when(first, IMAGE_REASON).otherwise(REASON).alias("reason")).alias("j"), F.col("__type"))
     t = t.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("xs"))
