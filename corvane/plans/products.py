@@ -94,7 +94,7 @@ def answer_violations(spark, d):
 
 
 def answer_status(spark, d):
-    return answers.answer(_requests(spark), _hits(spark, d), _catalog(spark, d)).select("query_id", "status", "answer.decision")
+    return answers.answer(_requests(spark), _few_hits(spark, d), _catalog(spark, d)).select("query_id", "status", "answer.decision")
 
 
 def answer_prompts(spark, d):

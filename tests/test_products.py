@@ -204,7 +204,7 @@ def _sent(t):
             yield "\n".join(lines[i:n])
 
 
-@pytest.mark.parametrize("name", ["lexical_hits", "lexical_scores", "fallback_answer", "answer_violations"])
+@pytest.mark.parametrize("name", ["lexical_hits", "lexical_scores", "fallback_answer", "answer_violations", "answer_status"])
 def test_catalog_is_not_sent_to_all_tasks(spark, sf_dir, name):
     sent = list(_sent(products.QUERIES[name](spark, sf_dir)))
     assert sent and all("FileScan" not in x or "rank#" in x for x in sent), sent
