@@ -123,7 +123,7 @@ def prompts(queries: DataFrame, hits: DataFrame, products: DataFrame, top: int =
     kinds = dict(products.dtypes)
     cols = [(F.substring(T.safe_text(F.col(c), kinds[c]), 1, 1000) if c == "description" else T.safe_text(F.col(c), kinds[c])).alias(n) if c in kinds else F.lit("").alias(n) for c, n in fields.items()]
     p = products.select(F.col("product_id"), F.to_json(F.struct(F.col("product_id").cast("string").alias("product_id"), *cols)).alias("__j"))
-    t = hits.where(F.col("rank") <= top).join(p, "product_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "__j"))).alias("xs"))
+    t = hits.where(F.col("rank") <= top).join(_catalog(p), "product_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "__j"))).alias("xs"))
     t = queries.join(t, "query_id", "left")
     image = F.when(F.col("query_image_path").isNotNull(), "yes").otherwise("no") if "query_image_path" in queries.columns else F.lit("no")
     lines = [

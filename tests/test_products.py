@@ -204,7 +204,18 @@ def _sent(t):
             yield "\n".join(lines[i:n])
 
 
-@pytest.mark.parametrize("name", ["lexical_hits", "lexical_scores", "fallback_answer", "answer_violations", "answer_status"])
+@pytest.mark.parametrize("name", ["lexical_hits", "lexical_scores", "fallback_answer", "answer_violations", "answer_status", "answer_prompts"])
 def test_catalog_is_not_sent_to_all_tasks(spark, sf_dir, name):
     sent = list(_sent(products.QUERIES[name](spark, sf_dir)))
     assert sent and all("FileScan" not in x or "rank#" in x for x in sent), sent
+
+
+def test_answers_join_any_hits_without_sending_the_catalog(spark, shop, tmp_path):
+    q, hits, p = shop
+    for k, t in {"h": hits, "p": p}.items():
+        t.write.parquet(f"{tmp_path}/{k}")
+    hits, p = (spark.read.parquet(f"{tmp_path}/{k}") for k in "hp")
+    for make in (A.fallback, A.prompts):
+        t = make(q, hits, p)
+        assert "SortMergeJoin [product_id" in t._jdf.queryExecution().executedPlan().toString()
+        assert t.count() == 3
