@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import bisect
+import functools
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions import text as T
+from corvane.session import stored, unstore
 
 PRIME = 4294967311
 
+#: Words and documents of a chunk, and shingles of all chunks in a range of their order; they bound a task's memory, not the result.
+CHUNK_WORDS, CHUNK_ROWS, RANGE_ROWS = 1 << 21, 20_000, 1 << 21
+
 
 def hash_params(n: int) -> list[tuple[int, int]]:
     """Fixed coefficients (a, b) of n hash functions (a row + b) mod PRIME."""
@@ -38,13 +52,172 @@ def dictionary(shingles: DataFrame) -> DataFrame:
     return t.withColumn("__w", within).join(before, "__p").select("shingle", (F.col("__before") + F.col("__w")).cast("long").alias("row"))
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Ascending integers from 0 as compressed byte planes of their differences."""
+    if not len(x):
+        return b""
+    d = np.diff(x, prepend=0)
+    width = 4 if d.max() < 1 << 32 else 8
+    return bytes([width]) + zlib.compress(d.astype(f"<u{width}").view(np.uint8).reshape(len(d), -1).T.tobytes(), 1)
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    if not b:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(zlib.decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{b[0]}").ravel().astype(np.int64))
+
+
+def _lines(x: pa.Array) -> bytes:
+    return zlib.compress(b"\n".join(x.cast(pa.binary()).to_pylist()), 1)
+
+
+def _unlines(b: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([zlib.decompress(b).decode()], pa.large_string()), "\n").flatten()
+
+
+def _numbered(lists: pa.ListArray, k: int) -> tuple[pa.Array, list[np.ndarray]]:
+    """The sorted distinct k-shingles of lists of words, and each list's shingles as ascending places among them.
+
+    Words hold no character below the blank, so shingles sort as their words do one by one.
+    """
+    flat, n = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = flat.dictionary_encode()
+    by = pc.sort_indices(coded.dictionary).to_numpy(zero_copy_only=False)
+    words, code = coded.dictionary.take(pa.array(by)), np.argsort(by)[coded.indices.to_numpy(zero_copy_only=False)] + 1
+    count, first = np.where(n > 0, np.maximum(n - k + 1, 1), 0), np.cumsum(n) - n
+    doc = np.repeat(np.arange(len(n)), count)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
+    end, base, most = (first + n)[doc], len(words) + 1, len(words) + 1
+    place = lambda t, j, e: np.where(t + j < e, code[np.minimum(t + j, max(len(code) - 1, 0))] if len(code) else 0, 0)  # noqa: E731  0: no such word
+    key = place(at, 0, end)
+    for step in range(1, k):
+        if most * base >= 1 << 62:
+            seen, key = np.unique(key, return_inverse=True)
+            most = len(seen)
+        key, most = key * base + place(at, step, end), most * base
+    _, where, key = np.unique(key, return_index=True, return_inverse=True)
+    parts = [place(at[where], j, end[where]) for j in range(k)]
+    texts = pc.binary_join_element_wise(*[words.take(pa.array(c - 1, mask=c == 0)) for c in parts], " ", null_handling="skip") if len(where) else pa.array([], pa.string())
+    pairs = np.unique(doc * max(len(where), 1) + key)
+    return texts, np.split(pairs % max(len(where), 1), np.searchsorted(pairs, np.arange(1, len(n)) * max(len(where), 1))) if len(n) else []
+
+
+def _chunks(k: int, kind: pa.DataType, most_words: int, most_rows: int):
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        texts, places = _numbered(t.column(1).chunk(0), k)
+        n, step, chunk = t.num_rows, max(1, len(texts) // 64), uuid.uuid4().int >> 65
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([chunk] * (n + 1), pa.int64()), pa.concat_arrays([t.column(0).chunk(0).cast(kind), pa.nulls(1, kind)]), pa.array([_pack(x) for x in places] + [None], pa.binary()),
+             pa.array([None] * n + [len(texts)], pa.int64()), pa.array([None] * n + [_lines(texts)], pa.binary()), pa.array([None] * n + [texts.take(pa.array(np.arange(0, len(texts), step))).to_pylist()], pa.list_(pa.string()))],
+            ["chunk", "doc_id", "places", "n", "shingles", "marks"],
+        )
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words, rows = [], 0, 0
+        for whole in it:
+            for i in range(0, whole.num_rows, min(500, most_rows)):
+                b = whole.slice(i, min(500, most_rows))
+                held, words, rows = [*held, b], words + len(b.column(1).flatten()), rows + b.num_rows
+                if words >= most_words or rows >= most_rows:
+                    yield from made(held)
+                    held, words, rows = [], 0, 0
+        if held:
+            yield from made(held)
+
+    return run
+
+
+def _split(cuts: list[str]):
+    """Sorted shingles to the ranges between ``cuts``."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for chunk, blob, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not n:
+                    continue
+                x, at = _unlines(blob), [0]
+                for c in cuts:
+                    at.append(bisect.bisect_left(range(len(x)), c, at[-1], key=lambda i: x[i].as_py()))
+                some = [(r, lo, hi) for r, (lo, hi) in enumerate(zip(at, [*at[1:], len(x)], strict=True)) if lo < hi]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in some], pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array([_lines(x.slice(lo, hi - lo)) for _, lo, hi in some], pa.binary())], ["range", "chunk", "shingles"])
+
+    return run
+
+
+def _ranked(t: pa.Table) -> pa.Table:
+    """Of one range: for each chunk the places of its shingles in the order of all distinct ones."""
+    lists = [_unlines(b) for b in t.column("shingles").to_pylist()]
+    coded = pa.concat_arrays(lists).dictionary_encode()
+    place = np.argsort(pc.sort_indices(coded.dictionary).to_numpy(zero_copy_only=False))[coded.indices.to_numpy(zero_copy_only=False)]
+    each = np.split(place, np.cumsum([len(x) for x in lists])[:-1])
+    return pa.table({"range": t.column("range"), "chunk": t.column("chunk"), "n": pa.array([len(coded.dictionary)] * len(lists), pa.int64()), "places": pa.array([_pack(x) for x in each], pa.binary())})
+
+
+def profiles(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = 100, k: int = 2) -> DataFrame:
+    """(doc_id, hashes, rows): the signature, and the document's rows of ``dictionary`` packed for ``packed_jaccard``.
+
+    Documents are cut into chunks, and each chunk sends each of its shingles once, in
+    compressed sorted lists, to the range of the order that numbers it. What comes
+    back are the numbers, so a shingle's text never travels with its documents. The
+    result is written; what led to it is deleted.
+    """
+    kind = docs.schema[id_col].dataType
+    t = docs.select(F.col(id_col).alias("doc_id"), T.words(F.col(text_col)).alias("w"))
+    made = stored(t.mapInArrow(_chunks(k, to_arrow_type(kind), CHUNK_WORDS, CHUNK_ROWS), f"chunk long, doc_id {kind.simpleString()}, places binary, n long, shingles binary, marks array<string>"))
+    heads = made.where("n is not null")
+    n = heads.agg(F.sum("n")).first()[0] or 0
+    marks = sorted(r[0] for r in heads.select(F.explode("marks").alias("m")).orderBy(F.xxhash64("m"), "m").limit(20_000).collect())
+    ranges = max(1, -(-n // RANGE_ROWS))
+    cuts = sorted({marks[i * len(marks) // ranges] for i in range(1, ranges)} if marks else ())
+    split = heads.select("chunk", "shingles", "n").mapInArrow(_split(cuts), "range long, chunk long, shingles binary")
+    numbers = stored(split.groupBy("range").applyInArrow(_ranked, "range long, chunk long, n long, places binary"))
+    before, so_far = {}, 0
+    for r in numbers.groupBy("range").agg(F.max("n").alias("n")).orderBy("range").collect():
+        before[r["range"]], so_far = so_far, so_far + r["n"]
+
+    def least(mine: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("range")
+        row = np.concatenate([np.zeros(0, np.int64), *[_unpack(b) + before[r] for r, b in zip(found.column("range").to_pylist(), found.column("places").to_pylist(), strict=True)]])
+        places = [_unpack(b) for b in mine.column("places").to_pylist()]
+        size = np.array([len(x) for x in places], np.int64)
+        out, flat, some = np.zeros((len(places), n_hashes), np.int64), np.concatenate([np.zeros(0, np.int64), *places]), size > 0
+        for i, (a, b) in enumerate(hash_params(n_hashes)) if len(flat) else ():
+            v = a * row + b
+            v -= v // PRIME * PRIME
+            out[some, i] = np.minimum.reduceat(v[flat], (np.cumsum(size) - size)[some])
+        hashes = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * n_hashes, pa.int32()), pa.array(out.ravel()))
+        return pa.table({"doc_id": mine.column("doc_id"), "hashes": hashes, "rows": pa.array([_pack(row[x]) for x in places], pa.binary())})
+
+    mine = made.where("n is null").select("chunk", "doc_id", "places")
+    out = stored(mine.groupBy("chunk").cogroup(numbers.select("chunk", "range", "places").groupBy("chunk")).applyInArrow(least, f"doc_id {kind.simpleString()}, hashes array<long>, rows binary"))
+    for t in (made, numbers):
+        unstore(t)
+    return out
+
+
+@functools.cache
+def _jaccard_udf():
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            x, y = _unpack(x), _unpack(y)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(run, "double")
+
+
+def packed_jaccard(a: Column, b: Column) -> Column:
+    """Of two documents' ``rows`` as sets; 1 for two empty ones."""
+    return _jaccard_udf()(F.coalesce(a, F.lit(b"")), F.coalesce(b, F.lit(b"")))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = 100, k: int = 2) -> DataFrame:
     """(doc_id, hashes): minima over the document's rows; zeros for a document without words."""
-    s = shingle_table(docs, id_col, text_col, k)
-    rows = s.join(dictionary(s), "shingle")
-    least = rows.groupBy("doc_id").agg(*[F.min((F.lit(a) * F.col("row") + F.lit(b)) % PRIME).alias(f"h{i}") for i, (a, b) in enumerate(hash_params(n_hashes))])
-    t = docs.select(F.col(id_col).alias("doc_id")).join(least, "doc_id", "left")
-    return t.select("doc_id", F.array(*[F.coalesce(f"h{i}", F.lit(0)) for i in range(n_hashes)]).alias("hashes"))
+    return profiles(docs, id_col, text_col, n_hashes, k).select("doc_id", "hashes")
 
 
 def buckets(sigs: DataFrame, n_bands: int, rows: int) -> DataFrame:

@@ -84,19 +84,22 @@ def stored(df):
     import uuid
 
     spark = df.sparkSession
-    sc = spark.sparkContext
     path = f"{shared_dir(spark)}/corvane/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-
-    def drop() -> None:
-        try:
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may have ended first
-            pass
-
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    atexit.register(unstore, out)
+    return out
+
+
+def unstore(df) -> None:
+    """Deletes the files of a table that ``stored`` gave and that no plan reads any more."""
+    try:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may have ended first
+        pass
 
 
 def spread(df):

@@ -199,3 +199,20 @@ def test_average_length_by_alias(spark):
     t = spark.createDataFrame([("genres_document_length", 2.5), ("document_length", 9.0), ("genres", None)], "field string, avgdl double")
     got = [index.average_length(s, f).first().avgdl for s, f in ((t.where("avgdl > 0"), "genres"), (t, "genres"), (t, "characters"), (t.limit(0), "genres"))]
     assert got == [2.5, 0.0, 9.0, 0.0]
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_signatures_by_chunks_and_ranges(spark, monkeypatch, k):
+    for name in ("CHUNK_WORDS", "CHUNK_ROWS", "RANGE_ROWS"):
+        monkeypatch.setattr(near_duplicates, name, 7)
+    words = ["a", "ab", "b", "a1", "z"]
+    texts = [" ".join(words[(i * j + j // 3) % 5] for j in range(i % 9)) for i in range(40)] + [None, "", "A ab", "İ x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    sets = {r.id: r.s for r in docs.select("id", T.shingles(F.col("t"), k).alias("s")).collect()}
+    row = {x: i for i, x in enumerate(sorted({x for s in sets.values() for x in s}))}
+    want = {i: [min(((a * row[x] + b) % near_duplicates.PRIME for x in s), default=0) for a, b in near_duplicates.hash_params(30)] for i, s in sets.items()}
+    t = near_duplicates.profiles(docs, "id", "t", 30, k)
+    assert {r.doc_id: r.hashes for r in t.collect()} == want
+    assert {r.doc_id: near_duplicates._unpack(r.rows).tolist() for r in t.collect()} == {i: sorted(row[x] for x in s) for i, s in sets.items()}
+    plan = near_duplicates.signatures(docs, "id", "t", 30, k)._jdf.queryExecution().executedPlan().toString()
+    assert "shingle" not in plan and "Generate" not in plan  # no row for each document and shingle
