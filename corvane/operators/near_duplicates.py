@@ -22,7 +22,7 @@ from corvane.session import stored, unstore
 PRIME = 4294967311
 
 #: Words and documents of a chunk, and shingles of all chunks in a range of their order; they bound a task's memory, not the result.
-CHUNK_WORDS, CHUNK_ROWS, RANGE_ROWS = 1 << 21, 20_000, 1 << 21
+CHUNK_WORDS, CHUNK_ROWS, RANGE_ROWS = 1 << 20, 20_000, 1 << 20
 
 
 def hash_params(n: int) -> list[tuple[int, int]]:
@@ -96,7 +96,11 @@ def _numbered(lists: pa.ListArray, k: int) -> tuple[pa.Array, list[np.ndarray]]:
             seen, key = np.unique(key, return_inverse=True)
             most = len(seen)
         key, most = key * base + place(at, step, end), most * base
-    _, where, key = np.unique(key, return_index=True, return_inverse=True)
+    coded = pa.array(key).dictionary_encode()
+    by = np.argsort(coded.dictionary.to_numpy(zero_copy_only=False))
+    key = np.argsort(by)[coded.indices.to_numpy(zero_copy_only=False)]
+    where = np.zeros(len(by), np.int64)
+    where[key] = np.arange(len(key))
     parts = [place(at[where], j, end[where]) for j in range(k)]
     texts = pc.binary_join_element_wise(*[words.take(pa.array(c - 1, mask=c == 0)) for c in parts], " ", null_handling="skip") if len(where) else pa.array([], pa.string())
     pairs = np.unique(doc * max(len(where), 1) + key)
@@ -236,15 +240,23 @@ def band_pairs(sigs: DataFrame, n_bands: int, rows: int) -> DataFrame:
     Documents with the same whole signature are joined through the least of them
     and expanded at the end, so band buckets hold distinct signatures only.
     """
-    groups = sigs.groupBy("hashes").agg(F.min("doc_id").alias("rep"))
+    groups = stored(sigs.groupBy("hashes").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("docs")))
     key = F.inline(F.array(*[F.struct(F.lit(i).alias("band"), F.slice("hashes", i * rows + 1, rows).alias("part")) for i in range(n_bands)]))
-    b = groups.select("rep", key)
-    pairs = b.join(b.withColumnRenamed("rep", "rep2"), ["band", "part"]).where("rep <= rep2").groupBy("rep", "rep2").agg(F.count(F.lit(1)).alias("n_shared_bands"))
-    members = sigs.join(groups, "hashes").select("doc_id", "rep")
+    shared = groups.select("rep", key).groupBy("band", "part").agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)
+    b = stored(shared.select("band", "part", F.explode("reps").alias("rep")))
+    pairs = b.join(b.withColumnRenamed("rep", "rep2"), ["band", "part"]).where("rep < rep2").groupBy("rep", "rep2").agg(F.count(F.lit(1)).alias("n_shared_bands"))
+    pairs = pairs.unionByName(groups.where(F.size("docs") > 1).select("rep", F.col("rep").alias("rep2"), F.lit(n_bands).cast("long").alias("n_shared_bands")))
+    members = groups.select("rep", F.explode("docs").alias("doc_id"))
     t = pairs.join(members.select(F.col("doc_id").alias("x"), "rep"), "rep").join(members.select(F.col("doc_id").alias("y"), F.col("rep").alias("rep2")), "rep2").where("rep <> rep2 or x < y")
     return t.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n_shared_bands")
 
 
+def _of(t: DataFrame, pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Rows of ``t`` whose doc_id is in a pair; up to ``most`` identifiers are sent to the rows, more are joined."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return t.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = 100, least: float = 0.0, k: int = 2) -> DataFrame:
     """(a, b, n_shared_bands, jaccard) of candidate pairs whose shingles' Jaccard similarity is at least ``least``."""
     bands, rows = bands_of(n_hashes)

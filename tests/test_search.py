@@ -216,3 +216,12 @@ def test_signatures_by_chunks_and_ranges(spark, monkeypatch, k):
     assert {r.doc_id: near_duplicates._unpack(r.rows).tolist() for r in t.collect()} == {i: sorted(row[x] for x in s) for i, s in sets.items()}
     plan = near_duplicates.signatures(docs, "id", "t", 30, k)._jdf.queryExecution().executedPlan().toString()
     assert "shingle" not in plan and "Generate" not in plan  # no row for each document and shingle
+
+
+def test_band_pairs_join_only_shared_bands(spark):
+    sigs = spark.createDataFrame([(i, [i % 3, i // 4, 7, i]) for i in range(12)] + [(20, [0, 0, 7, 0])], "doc_id int, hashes array<long>")
+    rows = {r.doc_id: r.hashes for r in sigs.collect()}
+    want = {(a, b): n for a in rows for b in rows if a < b and (n := sum(x == y for x, y in zip((rows[a][:2], rows[a][2:]), (rows[b][:2], rows[b][2:]), strict=True)))}
+    t = near_duplicates.band_pairs(sigs, 2, 2)
+    assert {(r.a, r.b): r.n_shared_bands for r in t.collect()} == want
+    assert "inline" not in t._jdf.queryExecution().executedPlan().toString()  # bands that one signature has alone aren't joined
