@@ -260,10 +260,11 @@ def _of(t: DataFrame, pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = 100, least: float = 0.0, k: int = 2) -> DataFrame:
     """(a, b, n_shared_bands, jaccard) of candidate pairs whose shingles' Jaccard similarity is at least ``least``."""
     bands, rows = bands_of(n_hashes)
-    pairs = band_pairs(signatures(docs, id_col, text_col, n_hashes, k), bands, rows)
-    s = docs.select(F.col(id_col).alias("doc_id"), T.shingles(F.col(text_col), k).alias("s"))
-    t = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return t.select("a", "b", "n_shared_bands", T.jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
+    t = profiles(docs, id_col, text_col, n_hashes, k)
+    pairs = stored(band_pairs(t.select("doc_id", "hashes"), bands, rows))
+    s = _of(t.select("doc_id", "rows"), pairs)
+    t = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("rows").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("rows").alias("sb")), "b")
+    return t.select("a", "b", "n_shared_bands", packed_jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def quality(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, against: int = 5, k: int = 2) -> DataFrame:

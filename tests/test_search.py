@@ -225,3 +225,11 @@ def test_band_pairs_join_only_shared_bands(spark):
     t = near_duplicates.band_pairs(sigs, 2, 2)
     assert {(r.a, r.b): r.n_shared_bands for r in t.collect()} == want
     assert "inline" not in t._jdf.queryExecution().executedPlan().toString()  # bands that one signature has alone aren't joined
+
+
+def test_similarity_of_pairs_from_numbers(spark):
+    docs = spark.createDataFrame([(0, "a b c d e"), (1, "a b c d e"), (2, "a b c d f"), (3, None), (4, "")], "id int, t string")
+    t = near_duplicates.near_duplicates(docs, "id", "t")
+    got = {(r.a, r.b): r.jaccard for r in t.collect()}
+    assert got[0, 1] == got[3, 4] == 1.0 and got.get((0, 2), 0.6) == 0.6
+    assert "array_distinct" not in t._jdf.queryExecution().executedPlan().toString()
