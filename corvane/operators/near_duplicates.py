@@ -267,18 +267,21 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n_hashes: int =
     return t.select("a", "b", "n_shared_bands", packed_jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def quality(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, against: int = 5, k: int = 2) -> DataFrame:
+def quality(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, against: int = 5, k: int = 2, rows: DataFrame | None = None) -> DataFrame:
     """One row: pairs, and the share whose Jaccard beats that of ``a`` with each of ``against`` other documents.
 
     The others are drawn by a hash of the pair, the same on each run, so no
     generator state is needed; a document that isn't there is drawn as empty.
+    ``rows`` are those of ``profiles``, where they are there already.
     """
-    s = docs.select(F.col(id_col).alias("doc_id"), T.shingles(F.col(text_col), k).alias("s"))
+    s = (profiles(docs, id_col, text_col, 1, k) if rows is None else rows).select("doc_id", "rows")
     n = s.agg(F.min("doc_id").alias("lo"), (F.max("doc_id") - F.min("doc_id") + 1).alias("n")).first()
-    p = pairs.select("a", "b").distinct().join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    p = p.withColumn("j", T.jaccard(F.col("sa"), F.col("sb")))
-    draw = F.explode(F.transform(F.sequence(F.lit(1), F.lit(against)), lambda i: F.pmod(F.xxhash64("a", "b", i), F.lit(n["n"] or 1)) + (n["lo"] or 0)))
-    t = p.select("a", "b", "sa", "j", draw.alias("c")).join(s.select(F.col("doc_id").alias("c"), F.col("s").alias("sc")), "c", "left")
-    other = F.when((F.col("c") == F.col("a")) | (F.col("c") == F.col("b")), F.lit(-1.0)).otherwise(T.jaccard(F.col("sa"), F.coalesce("sc", F.array().cast("array<string>"))))
-    t = t.groupBy("a", "b").agg(F.first("j").alias("j"), F.max(other).alias("o"))
+    p = stored(pairs.select("a", "b").distinct())
+    draw = F.transform(F.sequence(F.lit(1), F.lit(against)), lambda i: F.struct(F.lit(False).alias("own"), (F.pmod(F.xxhash64("a", "b", i), F.lit(n["n"] or 1)) + (n["lo"] or 0)).alias("c")))
+    t = p.select("a", "b", F.inline(F.concat(F.array(F.struct(F.lit(True).alias("own"), F.col("b").cast("long").alias("c"))), draw)))
+    t = t.join(s.select(F.col("doc_id").cast("long").alias("c"), F.col("rows").alias("sc")), "c", "left")
+    firsts = _of(s, p.select("a", F.col("a").alias("b")))
+    t = t.join(firsts.select(F.col("doc_id").alias("a"), F.col("rows").alias("sa")), "a")
+    j = F.when(~F.col("own") & ((F.col("c") == F.col("a")) | (F.col("c") == F.col("b"))), F.lit(-1.0)).otherwise(packed_jaccard(F.col("sa"), F.col("sc")))
+    t = t.select("a", "b", "own", j.alias("j")).groupBy("a", "b").agg(F.max(F.when(F.col("own"), F.col("j"))).alias("j"), F.max(F.when(~F.col("own"), F.col("j"))).alias("o"))
     return t.agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("j") > F.col("o")).cast("double")).alias("quality"))

@@ -223,7 +223,8 @@ def jaccard_pairs(spark, d):
 
 def lsh_quality(spark, d):
     docs = _docs(spark, d)
-    return near_duplicates.quality(docs, lsh_band_pairs(spark, d), "doc_id", "text")
+    t = near_duplicates.profiles(docs, "doc_id", "text")
+    return near_duplicates.quality(docs, near_duplicates.band_pairs(t.select("doc_id", "hashes"), 25, 4), "doc_id", "text", rows=t)
 
 
 def snippet_missing(spark, d):

@@ -233,3 +233,11 @@ def test_similarity_of_pairs_from_numbers(spark):
     got = {(r.a, r.b): r.jaccard for r in t.collect()}
     assert got[0, 1] == got[3, 4] == 1.0 and got.get((0, 2), 0.6) == 0.6
     assert "array_distinct" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_reads_numbers_not_texts(spark):
+    docs = spark.createDataFrame([(0, "a b c"), (1, "a b c"), (5, "x y"), (6, None)], "id int, t string")
+    pairs = spark.createDataFrame([(0, 1), (0, 1), (5, 6)], "a int, b int")
+    t = near_duplicates.quality(docs, pairs, "id", "t")
+    assert t.first().asDict() == {"pairs": 2, "quality": 0.5}
+    assert "array_distinct" not in t._jdf.queryExecution().executedPlan().toString()
