@@ -21,8 +21,8 @@ from corvane.session import stored, unstore
 
 PRIME = 4294967311
 
-#: Words and documents of a chunk, and shingles of all chunks in a range of their order; they bound a task's memory, not the result.
-CHUNK_WORDS, CHUNK_ROWS, RANGE_ROWS = 1 << 20, 20_000, 1 << 20
+#: Words and documents of a chunk, shingles of all chunks in a range of their order, and shingles hashed at a time; they bound a task's memory, not the result.
+CHUNK_WORDS, CHUNK_ROWS, RANGE_ROWS, HASH_ROWS = 1 << 20, 20_000, 1 << 20, 1 << 14
 
 
 def hash_params(n: int) -> list[tuple[int, int]]:
@@ -69,11 +69,14 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _lines(x: pa.Array) -> bytes:
-    return zlib.compress(b"\n".join(x.cast(pa.binary()).to_pylist()), 1)
+    """Texts without line ends, joined without a Python object for each, behind their length."""
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(pa.binary())), b"\n")[0].as_buffer()
+    return text.size.to_bytes(8, "little") + pa.Codec("zstd", 6).compress(text, asbytes=True)
 
 
 def _unlines(b: bytes) -> pa.Array:
-    return pc.split_pattern(pa.array([zlib.decompress(b).decode()], pa.large_string()), "\n").flatten()
+    text = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+    return pc.split_pattern(pa.array([text.decode()], pa.large_string()), "\n").flatten()
 
 
 def _numbered(lists: pa.ListArray, k: int) -> tuple[pa.Array, list[np.ndarray]]:
@@ -103,7 +106,8 @@ def _numbered(lists: pa.ListArray, k: int) -> tuple[pa.Array, list[np.ndarray]]:
     where[key] = np.arange(len(key))
     parts = [place(at[where], j, end[where]) for j in range(k)]
     texts = pc.binary_join_element_wise(*[words.take(pa.array(c - 1, mask=c == 0)) for c in parts], " ", null_handling="skip") if len(where) else pa.array([], pa.string())
-    pairs = np.unique(doc * max(len(where), 1) + key)
+    pairs = np.sort(doc * max(len(where), 1) + key)  # np.unique hashes integers, at many times the cost
+    pairs = pairs[np.concatenate([np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1]])]
     return texts, np.split(pairs % max(len(where), 1), np.searchsorted(pairs, np.arange(1, len(n)) * max(len(where), 1))) if len(n) else []
 
 
@@ -113,9 +117,9 @@ def _chunks(k: int, kind: pa.DataType, most_words: int, most_rows: int):
         texts, places = _numbered(t.column(1).chunk(0), k)
         n, step, chunk = t.num_rows, max(1, len(texts) // 64), uuid.uuid4().int >> 65
         yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk] * (n + 1), pa.int64()), pa.concat_arrays([t.column(0).chunk(0).cast(kind), pa.nulls(1, kind)]), pa.array([_pack(x) for x in places] + [None], pa.binary()),
+            [pa.array([False] * n + [True]), pa.array([chunk] * (n + 1), pa.int64()), pa.concat_arrays([t.column(0).chunk(0).cast(kind), pa.nulls(1, kind)]), pa.array([_pack(x) for x in places] + [None], pa.binary()),
              pa.array([None] * n + [len(texts)], pa.int64()), pa.array([None] * n + [_lines(texts)], pa.binary()), pa.array([None] * n + [texts.take(pa.array(np.arange(0, len(texts), step))).to_pylist()], pa.list_(pa.string()))],
-            ["chunk", "doc_id", "places", "n", "shingles", "marks"],
+            ["head", "chunk", "doc_id", "places", "n", "shingles", "marks"],
         )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,24 +163,45 @@ def _ranked(t: pa.Table) -> pa.Table:
     return pa.table({"range": t.column("range"), "chunk": t.column("chunk"), "n": pa.array([len(coded.dictionary)] * len(lists), pa.int64()), "places": pa.array([_pack(x) for x in each], pa.binary())})
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = 100, k: int = 2) -> DataFrame:
-    """(doc_id, hashes, rows): the signature, and the document's rows of ``dictionary`` packed for ``packed_jaccard``.
+def _least(row: np.ndarray, places: list[np.ndarray], n_hashes: int) -> np.ndarray:
+    """For each document, of which ``places`` are those in ``row``, the least values of the hash functions; zeros for an empty one.
+
+    Documents are taken some at a time, so that a function's values stay in the processor's cache.
+    """
+    out = np.zeros((len(places), n_hashes), np.int64)
+    some = np.array([i for i, x in enumerate(places) if len(x)], np.int64)
+    first = np.cumsum([0, *(len(places[i]) for i in some)])
+    lo = 0
+    while lo < len(some):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + HASH_ROWS, "right")) - 1)
+        x, at = row[np.concatenate([places[i] for i in some[lo:hi]])], first[lo:hi] - first[lo]
+        for i, (a, b) in enumerate(hash_params(n_hashes)):
+            v = a * x + b
+            v -= v // PRIME * PRIME
+            out[some[lo:hi], i] = np.minimum.reduceat(v, at)
+        lo = hi
+    return out
+
+
+def profiles(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = 100, k: int = 2, with_rows: bool = True) -> DataFrame:
+    """(doc_id, hashes, rows): the signature, and the document's rows of ``dictionary`` packed for ``packed_jaccard``; without ``with_rows`` (doc_id, hashes).
 
     Documents are cut into chunks, and each chunk sends each of its shingles once, in
     compressed sorted lists, to the range of the order that numbers it. What comes
     back are the numbers, so a shingle's text never travels with its documents. The
-    result is written; what led to it is deleted.
+    result is written; what led to it is deleted, the shingles' texts once they are numbered.
     """
     kind = docs.schema[id_col].dataType
     t = docs.select(F.col(id_col).alias("doc_id"), T.words(F.col(text_col)).alias("w"))
-    made = stored(t.mapInArrow(_chunks(k, to_arrow_type(kind), CHUNK_WORDS, CHUNK_ROWS), f"chunk long, doc_id {kind.simpleString()}, places binary, n long, shingles binary, marks array<string>"))
-    heads = made.where("n is not null")
+    made = stored(t.mapInArrow(_chunks(k, to_arrow_type(kind), CHUNK_WORDS, CHUNK_ROWS), f"head boolean, chunk long, doc_id {kind.simpleString()}, places binary, n long, shingles binary, marks array<string>"), "head")
+    heads = made.where("head")
     n = heads.agg(F.sum("n")).first()[0] or 0
     marks = sorted(r[0] for r in heads.select(F.explode("marks").alias("m")).orderBy(F.xxhash64("m"), "m").limit(20_000).collect())
     ranges = max(1, -(-n // RANGE_ROWS))
     cuts = sorted({marks[i * len(marks) // ranges] for i in range(1, ranges)} if marks else ())
     split = heads.select("chunk", "shingles", "n").mapInArrow(_split(cuts), "range long, chunk long, shingles binary")
     numbers = stored(split.groupBy("range").applyInArrow(_ranked, "range long, chunk long, n long, places binary"))
+    unstore(made, "head=true")
     before, so_far = {}, 0
     for r in numbers.groupBy("range").agg(F.max("n").alias("n")).orderBy("range").collect():
         before[r["range"]], so_far = so_far, so_far + r["n"]
@@ -185,17 +210,12 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = 100, k
         found = found.sort_by("range")
         row = np.concatenate([np.zeros(0, np.int64), *[_unpack(b) + before[r] for r, b in zip(found.column("range").to_pylist(), found.column("places").to_pylist(), strict=True)]])
         places = [_unpack(b) for b in mine.column("places").to_pylist()]
-        size = np.array([len(x) for x in places], np.int64)
-        out, flat, some = np.zeros((len(places), n_hashes), np.int64), np.concatenate([np.zeros(0, np.int64), *places]), size > 0
-        for i, (a, b) in enumerate(hash_params(n_hashes)) if len(flat) else ():
-            v = a * row + b
-            v -= v // PRIME * PRIME
-            out[some, i] = np.minimum.reduceat(v[flat], (np.cumsum(size) - size)[some])
-        hashes = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * n_hashes, pa.int32()), pa.array(out.ravel()))
-        return pa.table({"doc_id": mine.column("doc_id"), "hashes": hashes, "rows": pa.array([_pack(row[x]) for x in places], pa.binary())})
+        hashes = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * n_hashes, pa.int32()), pa.array(_least(row, places, n_hashes).ravel()))
+        out = pa.table({"doc_id": mine.column("doc_id"), "hashes": hashes})
+        return out.append_column("rows", pa.array([_pack(row[x]) for x in places], pa.binary())) if with_rows else out
 
-    mine = made.where("n is null").select("chunk", "doc_id", "places")
-    out = stored(mine.groupBy("chunk").cogroup(numbers.select("chunk", "range", "places").groupBy("chunk")).applyInArrow(least, f"doc_id {kind.simpleString()}, hashes array<long>, rows binary"))
+    mine = made.where("not head").select("chunk", "doc_id", "places")
+    out = stored(mine.groupBy("chunk").cogroup(numbers.select("chunk", "range", "places").groupBy("chunk")).applyInArrow(least, f"doc_id {kind.simpleString()}, hashes array<long>" + ", rows binary" * with_rows), compression="zstd")
     for t in (made, numbers):
         unstore(t)
     return out
@@ -221,7 +241,7 @@ def packed_jaccard(a: Column, b: Column) -> Column:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = 100, k: int = 2) -> DataFrame:
     """(doc_id, hashes): minima over the document's rows; zeros for a document without words."""
-    return profiles(docs, id_col, text_col, n_hashes, k).select("doc_id", "hashes")
+    return profiles(docs, id_col, text_col, n_hashes, k, with_rows=False)
 
 
 def buckets(sigs: DataFrame, n_bands: int, rows: int) -> DataFrame:

@@ -74,8 +74,8 @@ def cut(df):
     return df.checkpoint()
 
 
-def stored(df):
-    """``df`` written once as parquet to the folder that the cluster shares, and read back.
+def stored(df, *by, **options):
+    """``df`` written once as parquet to the folder that the cluster shares, in folders by the columns ``by`` and with the writer's ``options``, and read back.
 
     For what several branches of a plan read and is dear to compute, as tokens
     are. Written tables survive lost executors; they go when the driver ends.
@@ -85,18 +85,18 @@ def stored(df):
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     atexit.register(unstore, out)
     return out
 
 
-def unstore(df) -> None:
-    """Deletes the files of a table that ``stored`` gave and that no plan reads any more."""
+def unstore(df, part: str = "") -> None:
+    """Deletes the files, or those of the folder ``part``, of a table that ``stored`` gave and that no plan reads any more."""
     try:
         sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        p = sc._jvm.org.apache.hadoop.fs.Path(f"{df._stored_at}/{part}" if part else df._stored_at)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # noqa: BLE001  the session may have ended first
         pass

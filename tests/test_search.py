@@ -1,6 +1,9 @@
 import math
+import os
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +221,34 @@ def test_signatures_by_chunks_and_ranges(spark, monkeypatch, k):
     assert "shingle" not in plan and "Generate" not in plan  # no row for each document and shingle
 
 
+def test_signatures_leave_neither_texts_nor_rows_on_disk(spark, monkeypatch):
+    made, seen = [], []
+
+    def spy(df, *by, real=near_duplicates.stored, **options):
+        seen.append((df.columns, [x.where("shingles is not null").count() if os.path.exists(f"{x._stored_at.removeprefix('file://')}/head=true") else 0 for x in made if "shingles" in x.columns]))
+        made.append(real(df, *by, **options))
+        return made[-1]
+
+    monkeypatch.setattr(near_duplicates, "stored", spy)
+    docs = spark.createDataFrame([(0, "a b c"), (1, "a b"), (2, None)], "id int, t string")
+    s = near_duplicates.signatures(docs, "id", "t")
+    assert seen[1][1] != [0]
+    assert seen[-1] == (["doc_id", "hashes"], [0])  # the texts are gone before signatures are written, without rows
+    assert near_duplicates.buckets(s, 25, 4).count() == 75
+
+
+def test_least_values_by_blocks_and_texts_joined(monkeypatch):
+    row = np.arange(0, 90_000_000, 1_000_003)
+    places = [np.arange(i % 5, 90, 1 + i % 11)[: i % 13] for i in range(60)]
+    want = [[min(((a * int(row[x]) + b) % near_duplicates.PRIME for x in p), default=0) for a, b in near_duplicates.hash_params(30)] for p in places]
+    for most in (1, 20, 1 << 14):
+        monkeypatch.setattr(near_duplicates, "HASH_ROWS", most)
+        assert near_duplicates._least(row, places, 30).tolist() == want
+    assert near_duplicates._least(row[:0], [row[:0]], 2).tolist() == [[0, 0]]
+    for x in (pa.array(["a", "a b", "z9"]), pa.array(["0", "a", "b ż", "c"], pa.large_string()).slice(1, 2)):
+        assert near_duplicates._unlines(near_duplicates._lines(x)).to_pylist() == x.to_pylist()
+
+
 def test_band_pairs_join_only_shared_bands(spark):
     sigs = spark.createDataFrame([(i, [i % 3, i // 4, 7, i]) for i in range(12)] + [(20, [0, 0, 7, 0])], "doc_id int, hashes array<long>")
     rows = {r.doc_id: r.hashes for r in sigs.collect()}
