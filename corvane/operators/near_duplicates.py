@@ -24,6 +24,9 @@ PRIME = 4294967311
 #: Words and documents of a chunk, shingles of all chunks in a range of their order, and shingles hashed at a time; they bound a task's memory, not the result.
 CHUNK_WORDS, CHUNK_ROWS, RANGE_ROWS, HASH_ROWS = 1 << 20, 20_000, 1 << 20, 1 << 14
 
+#: Blocks of documents whose sets are compared, at least, and bytes of all packed sets that a block stands for.
+BLOCKS, BLOCK_BYTES = 10, 1 << 26
+
 
 def hash_params(n: int) -> list[tuple[int, int]]:
     """Fixed coefficients (a, b) of n hash functions (a row + b) mod PRIME."""
@@ -287,21 +290,98 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n_hashes: int =
     return t.select("a", "b", "n_shared_bands", packed_jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def quality(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, against: int = 5, k: int = 2, rows: DataFrame | None = None) -> DataFrame:
+def _overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets; 1 for two empty ones."""
+    both = np.concatenate((x, y))
+    both.sort()
+    n = int(np.count_nonzero(both[1:] == both[:-1]))
+    return n / (len(both) - n) if len(both) else 1.0
+
+
+def _sketch(x: np.ndarray) -> bytes:
+    """The size of a set and, at four bits an element or more, which values a hash of its elements takes."""
+    m = max(256, 1 << (4 * len(x) - 1).bit_length()) if len(x) else 8
+    bits = np.zeros(m, np.uint8)
+    bits[((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & (m - 1)] = 1
+    return len(x).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def _read_sketch(b: bytes) -> tuple[int, int, int]:
+    return (int.from_bytes(b[:8], "little"), int.from_bytes(b[8:], "little"), 8 * len(b) - 64) if b else (0, 0, 8)
+
+
+def _most_overlap(x: tuple[int, int, int], y: tuple[int, int, int]) -> float:
+    """What the Jaccard similarity of two sets can be at most: a value that only one of them takes is an element that the other lacks."""
+    (n, u, m), (k, v, w) = x, y
+    if not n or not k:
+        return float(n == k)
+    while m > w:
+        m //= 2
+        u = (u | u >> m) & ((1 << m) - 1)
+    while w > m:
+        w //= 2
+        v = (v | v >> w) & ((1 << w) - 1)
+    same = (u & v).bit_count()
+    both = min(n - u.bit_count(), k - v.bit_count()) + same
+    return both / (n + k - both)
+
+
+def _sketches(rows: pa.Array) -> pa.Array:
+    made = [_sketch(_unpack(b or b"")) for b in rows.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([int.from_bytes(b[:8], "little") for b in made], pa.int64()), pa.array(made, pa.binary())], ["n", "sketch"])
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, blocks: int, read, value) -> DataFrame:
+    """``pairs`` (a, b, c and others) with ``v``, the ``value`` of what ``read`` makes of the sets (doc_id, set) of a and c; nothing for an ``a`` without a set.
+
+    Documents fall into blocks by a hash, and two blocks meet in a task that gets
+    each set once, however many pairs it is in. A set goes to at most as many
+    tasks as there are blocks, and to no more than it has pairs.
+    """
+    at = [F.pmod(F.xxhash64(F.col(x).cast("long")), F.lit(blocks)) for x in "ac"]
+    t = pairs.withColumn("cell", F.least(*at) * blocks + F.greatest(*at))
+    ids = t.select(F.col("cell").alias("at"), F.explode(F.array(F.col("a").cast("long"), F.col("c").cast("long"))).alias("doc_id")).distinct()
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in pairs.schema) + ", v double"
+
+    def run(mine: pa.Table, found: pa.Table) -> pa.Table:
+        of: dict[int, list] = {}
+        for d, x in zip(found.column("doc_id").to_pylist(), found.column("set").to_pylist(), strict=True):
+            of.setdefault(d, []).append(read(x or b""))
+        none = [read(b"")]
+        v = [max((value(x, y) for x in of.get(a, ()) for y in of.get(c, none)), default=None) for a, c in zip(mine.column("a").to_pylist(), mine.column("c").to_pylist(), strict=True)]
+        t = mine.drop_columns(["cell"]).append_column("v", pa.array(v, pa.float64()))
+        return t.filter(pc.is_valid(t.column("v")))
+
+    return t.groupBy("cell").cogroup(ids.join(sets.select(F.col("doc_id").cast("long").alias("doc_id"), "set"), "doc_id").groupBy("at")).applyInArrow(run, schema)
+
+
+def quality(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, against: int = 5, k: int = 2, rows: DataFrame | None = None, most: int = 1_000_000) -> DataFrame:
     """One row: pairs, and the share whose Jaccard beats that of ``a`` with each of ``against`` other documents.
 
     The others are drawn by a hash of the pair, the same on each run, so no
     generator state is needed; a document that isn't there is drawn as empty.
     ``rows`` are those of ``profiles``, where they are there already.
+
+    A draw counts if it is as similar as the pair's own document. Sizes of sets rule
+    out most draws and sketches most others, both exactly; sets are compared for the
+    pairs and for the draws that are left. Sizes of up to ``most`` documents are sent to the pairs, more are joined.
     """
     s = (profiles(docs, id_col, text_col, 1, k) if rows is None else rows).select("doc_id", "rows")
-    n = s.agg(F.min("doc_id").alias("lo"), (F.max("doc_id") - F.min("doc_id") + 1).alias("n")).first()
-    p = stored(pairs.select("a", "b").distinct())
-    draw = F.transform(F.sequence(F.lit(1), F.lit(against)), lambda i: F.struct(F.lit(False).alias("own"), (F.pmod(F.xxhash64("a", "b", i), F.lit(n["n"] or 1)) + (n["lo"] or 0)).alias("c")))
-    t = p.select("a", "b", F.inline(F.concat(F.array(F.struct(F.lit(True).alias("own"), F.col("b").cast("long").alias("c"))), draw)))
-    t = t.join(s.select(F.col("doc_id").cast("long").alias("c"), F.col("rows").alias("sc")), "c", "left")
-    firsts = _of(s, p.select("a", F.col("a").alias("b")))
-    t = t.join(firsts.select(F.col("doc_id").alias("a"), F.col("rows").alias("sa")), "a")
-    j = F.when(~F.col("own") & ((F.col("c") == F.col("a")) | (F.col("c") == F.col("b"))), F.lit(-1.0)).otherwise(packed_jaccard(F.col("sa"), F.col("sc")))
-    t = t.select("a", "b", "own", j.alias("j")).groupBy("a", "b").agg(F.max(F.when(F.col("own"), F.col("j"))).alias("j"), F.max(F.when(~F.col("own"), F.col("j"))).alias("o"))
-    return t.agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("j") > F.col("o")).cast("double")).alias("quality"))
+    n = s.agg(F.min("doc_id").alias("lo"), (F.max("doc_id") - F.min("doc_id") + 1).alias("n"), F.sum(F.length("rows")).alias("bytes"), F.count(F.lit(1)).alias("docs")).first()
+    blocks = max(BLOCKS, -(-(n["bytes"] or 0) // BLOCK_BYTES))
+    sets = s.select("doc_id", F.col("rows").alias("set"))
+    p = stored(pairs.select("a", "b", F.col("b").cast("long").alias("c")).distinct())
+    own = stored(_compared(p, _of(sets, p, most), blocks, _unpack, _overlap).select("a", "b", F.col("v").alias("j")))
+    sketched = stored(s.select("doc_id", F.arrow_udf(_sketches, "n long, sketch binary")("rows").alias("s")).select("doc_id", "s.n", F.col("s.sketch").alias("set")))
+    sizes = sketched.select(F.col("doc_id").cast("long").alias("doc_id"), "n")
+    sizes = F.broadcast(sizes) if n["docs"] <= most else sizes
+    t = own.join(sizes.select(F.col("doc_id").alias("a_"), F.col("n").alias("na")), F.col("a").cast("long") == F.col("a_")).drop("a_")
+    t = t.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(against))))
+    t = t.select("a", "b", "j", "na", (F.pmod(F.xxhash64("a", "b", "i"), F.lit(n["n"] or 1)) + (n["lo"] or 0)).cast("long").alias("c"))
+    t = t.where(~F.col("c").eqNullSafe(F.col("a").cast("long")) & ~F.col("c").eqNullSafe(F.col("b").cast("long")))
+    t = t.join(sizes.select(F.col("doc_id").alias("c"), "n"), "c", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    t = t.where(F.when(F.greatest("n", "na") > 0, F.least("n", "na") / F.greatest("n", "na")).otherwise(F.lit(1.0)) >= F.col("j"))
+    t = stored(t.select("a", "b", "c", "j"))
+    t = stored(_compared(t, sketched, blocks, _read_sketch, _most_overlap).where("v >= j").drop("v"))
+    lost = _compared(t, sets, blocks, _unpack, _overlap).where("v >= j").select("a", "b").distinct().agg(F.count(F.lit(1)).alias("lost"))
+    return own.agg(F.count(F.lit(1)).alias("pairs")).crossJoin(lost).select("pairs", F.when(F.col("pairs") > 0, (F.col("pairs") - F.col("lost")) / F.col("pairs")).alias("quality"))

@@ -9,7 +9,7 @@ from corvane.functions import stemming
 from corvane.functions import text as T
 from corvane.operators import index, near_duplicates, ranking, search, snippets, spelling
 from corvane.plans import sql as S
-from corvane.session import spread, stored
+from corvane.session import freed, spread, stored
 
 MISSPELT = ("thinge", "woth", "eratiom", "blehere", "enton", "zzqx")
 SENTENCES = ("Thinge with erath!", "(woth) Ereath, unknwon", "the onand")
@@ -223,8 +223,9 @@ def jaccard_pairs(spark, d):
 
 def lsh_quality(spark, d):
     docs = _docs(spark, d)
-    t = near_duplicates.profiles(docs, "doc_id", "text")
-    return near_duplicates.quality(docs, near_duplicates.band_pairs(t.select("doc_id", "hashes"), 25, 4), "doc_id", "text", rows=t)
+    with freed(spark):
+        t = near_duplicates.profiles(docs, "doc_id", "text")
+        return near_duplicates.quality(docs, near_duplicates.band_pairs(t.select("doc_id", "hashes"), 25, 4), "doc_id", "text", rows=t)
 
 
 def snippet_missing(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 
 from pyspark.sql import SparkSession
@@ -102,6 +103,18 @@ def unstore(df, part: str = "") -> None:
         pass
 
 
+@contextlib.contextmanager
+def freed(spark):
+    """Within it, a query's shuffle files are deleted when the query ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def spread(df):
     """``df`` of files, dealt out anew if it has fewer files than the session has cores.
 

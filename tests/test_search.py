@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import index, near_duplicates, ranking, search, snippets, spelling
+from corvane.session import freed
 from corvane.sources import files
 
 BOOKS = [
@@ -272,3 +273,42 @@ def test_quality_reads_numbers_not_texts(spark):
     t = near_duplicates.quality(docs, pairs, "id", "t")
     assert t.first().asDict() == {"pairs": 2, "quality": 0.5}
     assert "array_distinct" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_quality_sends_sets_to_blocks_not_to_pairs(spark, monkeypatch, most):
+    words = [f"w{i}" for i in range(6)]
+    texts = {i: " ".join(words[(i * j + j // 3) % 6] for j in range(i % 9)) if i % 10 else None for i in range(60) if i % 7}
+    docs = spark.createDataFrame([(i, x) for i, x in texts.items()] + [(13, "w0 w1 w2")], "id int, t string")  # 13 twice
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in range(a + 1, 62) if (a + b) % 4 == 0] + [(1000, 1), (1, None)], "a int, b int")
+    sets = {}
+    for r in docs.select("id", T.shingles(F.col("t")).alias("s")).collect():
+        sets.setdefault(r.id, []).append(set(r.s or ()))
+    draws = pairs.select("a", "b", *[(F.pmod(F.xxhash64("a", "b", F.lit(i)), F.lit(max(texts) - min(texts) + 1)) + min(texts)).alias(f"c{i}") for i in range(1, 6)]).collect()
+    like = lambda a, c: max(len(x & y) / len(x | y) if x | y else 1.0 for x in sets[a] for y in sets.get(c, [set()]))
+    won = [like(a, b) > max((-1.0 if c in (a, b) else like(a, c) for c in cs), default=-1.0) for a, b, *cs in draws if a in sets]
+    monkeypatch.setattr(near_duplicates, "BLOCKS", 3)
+    t = near_duplicates.quality(docs, pairs, "id", "t", most=most)
+    assert t.first().asDict() == {"pairs": len(won), "quality": sum(won) / len(won)} and 0 < sum(won) < len(won)
+    assert near_duplicates.quality(docs, pairs.limit(0), "id", "t", most=most).first().asDict() == {"pairs": 0, "quality": None}
+    assert "ArrowEvalPython" not in t._jdf.queryExecution().executedPlan().toString()  # no row holds the sets of a pair
+
+
+def test_sketches_bound_similarity():
+    sets = [np.unique(np.arange(n) ** 2 * s + o) for n in (0, 1, 5, 63, 64, 65, 400, 3000) for s in (1, 3) for o in (0, 7)]
+    read = [near_duplicates._read_sketch(near_duplicates._sketch(x)) for x in sets]
+    for x, p in zip(sets, read, strict=True):
+        for y, q in zip(sets, read, strict=True):
+            both = len(np.intersect1d(x, y))
+            exact = both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+            assert near_duplicates._overlap(x, y) == exact <= near_duplicates._most_overlap(p, q)
+    assert near_duplicates._most_overlap(near_duplicates._read_sketch(b""), read[0]) == 1.0
+    assert near_duplicates._most_overlap(read[-4], near_duplicates._read_sketch(near_duplicates._sketch(np.arange(10_000_000, 10_003_000)))) < 0.3
+
+
+def test_shuffle_files_go_when_a_query_ends(spark):
+    key = spark._jvm.org.apache.spark.sql.internal.SQLConf.CLASSIC_SHUFFLE_DEPENDENCY_FILE_CLEANUP_ENABLED().key()
+    was = spark.conf.get(key)
+    with freed(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == was
